@@ -36,7 +36,7 @@ def _letters(pattern: str) -> Column:
 
 #: Production rules. Each bound lies well outside what clean prose shows.
 RULES: tuple[Rule, ...] = (
-    Rule("symbols", lambda: F.col("n_symbols") * 2 > F.col("n_words")),
+    Rule("symbols", lambda: F.col("n_symbols") * 5 > F.col("n_words")),
     Rule("word_length", lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words"))),
     Rule("duplicate_lines", lambda: F.col("n_dup_lines") * 2 > F.size(F.split("_text", "\n"))),
     Rule("capitals", lambda: _letters(r"[^A-Z]+") * 2 > F.col("word_chars")),
@@ -137,7 +137,7 @@ f AS (
   FROM w LEFT JOIN rep USING (k)
 ), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR n_symbols * 2 > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+  NOT (base_failed OR n_symbols * 5 > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
     OR n_dup_lines * 2 > len(string_split(text, chr(10)))
     OR 2 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > word_chars
     OR 2 * length(regexp_replace(text, '[^!]+', '', 'g')) > n_words) AS kept
