@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import OP2_SQL, op2_benchmark_decontamination
 from .quality_rules import OP9_SQL, op9_quality_cascade
 from .sharding import OP7_SQL, op7_rendezvous_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op7_rendezvous_sharding": op7_rendezvous_sharding,
     "op9_quality_cascade": op9_quality_cascade,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_benchmark_decontamination": OP2_SQL,
     "op7_rendezvous_sharding": OP7_SQL,
     "op9_quality_cascade": OP9_SQL,
 }

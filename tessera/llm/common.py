@@ -34,3 +34,36 @@ def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def passed(df: DataFrame, inputs: dict, fn, fields: str, keep: list[str] | None = None) -> DataFrame:
+    """Run ``fn`` over Arrow batches and keep each row beside what fn makes of it.
+
+    ``inputs`` names the columns that fn sees: fn gets a record batch of them and returns a list of Arrow
+    arrays, one for each of ``fields`` (a DDL list). The rows themselves (their columns in ``keep``, or all)
+    travel as one struct, so columns of any name, clashing ones included, pass through untouched as ``_row``.
+    """
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]).alias("_row"), *[c.alias(n) for n, c in inputs.items()])
+    out = spark_schema(packed, fields)
+    names = list(inputs)
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        made = to_arrow_schema(out)
+        for batch in batches:
+            rest = fn(batch.select(names))
+            arrays = [batch.column(0), *rest]
+            yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, made, strict=True)], names=made.names)
+
+    return packed.mapInArrow(run, out)
+
+
+def spark_schema(packed: DataFrame, fields: str):
+    """The schema of ``packed``'s _row followed by ``fields``."""
+    from pyspark.sql import types as T
+
+    return T.StructType([packed.schema["_row"], *T.StructType.fromDDL(fields).fields])
