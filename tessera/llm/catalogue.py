@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP2_SQL, op2_benchmark_decontamination
+from .packing import op4_hilbert_packing
 from .quality_rules import OP9_SQL, op9_quality_cascade
 from .sharding import OP7_SQL, op7_rendezvous_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op4_hilbert_packing": op4_hilbert_packing,
     "op7_rendezvous_sharding": op7_rendezvous_sharding,
     "op9_quality_cascade": op9_quality_cascade,
 }
