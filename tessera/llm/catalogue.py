@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import OP2_SQL, op2_benchmark_decontamination
 from .packing import op4_hilbert_packing
 from .quality_rules import OP9_SQL, op9_quality_cascade
+from .toxicity import op5_compression_toxicity
 from .sharding import OP7_SQL, op7_rendezvous_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_hilbert_packing": op4_hilbert_packing,
+    "op5_compression_toxicity": op5_compression_toxicity,
     "op7_rendezvous_sharding": op7_rendezvous_sharding,
     "op9_quality_cascade": op9_quality_cascade,
 }
