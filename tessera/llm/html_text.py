@@ -179,12 +179,14 @@ def _digest(*values: str) -> int:
 
 def _features(page: str | None) -> tuple[int, list[dict]]:
     blocks = parse(page)
-    rows = {(b.path, True, _digest(b.text)) for b in blocks}
-    rows |= {(path, False, _digest(*children)) for path, children in styles(blocks).items()}
-    return _digest(*(f"{b.path}\0{b.text}" for b in blocks)), [{"path": p, "content": c, "feature": f} for p, c, f in sorted(rows)]
+    rows = {(b.path, TEXT, _digest(b.text)) for b in blocks} | {(b.path, PRESENT, 0) for b in blocks}
+    rows |= {(path, STYLE, _digest(*children)) for path, children in styles(blocks).items()}
+    return _digest(*(f"{b.path}\0{b.text}" for b in blocks)), [{"path": p, "kind": k, "feature": f} for p, k, f in sorted(rows)]
 
 
-_ROW = pa.struct([("path", pa.string()), ("content", pa.bool_()), ("feature", pa.int64())])
+#: What a page tells of a path: a text it has there, that it has any, and how its children follow each other.
+TEXT, PRESENT, STYLE = 0, 1, 2
+_ROW = pa.struct([("path", pa.string()), ("kind", pa.int32()), ("feature", pa.int64())])
 
 
 def style_tree(pages: DataFrame, *, host: str = "_host", html_col: str = "_html") -> DataFrame:
@@ -200,21 +202,21 @@ def style_tree(pages: DataFrame, *, host: str = "_host", html_col: str = "_html"
         both = [_features(x) for x in batch.column(0).to_pylist()]
         return [pa.array([p for p, _ in both], pa.int64()), pa.array([r for _, r in both], pa.list_(_ROW))]
 
-    seen = passed(pages, {"_text": F.col(html_col)}, found, "page long, rows array<struct<path:string,content:boolean,feature:long>>", [host])
+    seen = passed(pages, {"_text": F.col(html_col)}, found, "page long, rows array<struct<path:string,kind:int,feature:long>>", [host])
     one = seen.select(F.col(f"_row.{host}").alias("host"), "page", "rows").dropDuplicates(["host", "page"])
-    counted = one.select("host", F.inline("rows")).groupBy("host", "path", "content", "feature").agg(F.count(F.lit(1)).alias("n"))
-    by = counted.groupBy("host", "path", "content").agg(
-        F.sum("n").alias("m_sum"), F.count(F.lit(1)).alias("l"), F.sum(F.log("n")).alias("log_n"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"), F.max("n").alias("top")
+    counted = one.select("host", F.inline("rows")).groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    tree = counted.groupBy("host", "path").agg(
+        F.count_if(F.col("kind") == TEXT).alias("texts"), F.sum(of(TEXT, F.log("n"))).alias("log_n"), F.max(of(PRESENT, F.col("n"))).alias("with_text"),
+        F.count_if(F.col("kind") == STYLE).alias("styles"), F.sum(of(STYLE, F.col("n"))).alias("with_style"), F.sum(of(STYLE, F.col("n") * F.log("n"))).alias("n_log_n"),
     )
-    m = F.greatest(F.when(F.col("content"), F.col("top")).otherwise(F.col("m_sum")), F.col("top")).cast("double")
-    base = F.log(F.greatest(m, F.lit(2.0)))
-    content = F.when(m <= 1, F.lit(1.0)).otherwise(1 - F.col("log_n") / F.col("l") / base)
-    shown = F.when(m <= 1, F.lit(1.0)).otherwise((F.log(m) - F.col("n_log_n") / m) / base)
-    each = by.withColumn("m", m).withColumn("content_imp", F.when(F.col("content"), content)).withColumn("style_imp", F.when(~F.col("content"), shown)).withColumn("styles", F.when(~F.col("content"), F.col("l")))
-    tree = each.groupBy("host", "path").agg(F.max("m").alias("pages"), F.max("content_imp").alias("c"), F.max("style_imp").alias("s"), F.max("styles").alias("k"))
-    weight = 1 - F.pow(F.lit(DECAY), F.col("k"))
-    importance = F.when(F.col("s").isNull(), F.col("c")).when(F.col("c").isNull(), F.lit(None).cast("double")).otherwise(weight * F.col("s") + (1 - weight) * F.col("c"))
-    return tree.select("host", "path", F.col("pages").cast("long").alias("pages"), importance.alias("importance"))
+    base = lambda m: F.log(F.col(m).cast("double"))
+    content = F.when(F.col("with_text") > 1, 1 - F.col("log_n") / F.col("texts") / base("with_text")).when(F.col("with_text") == 1, 1.0)
+    shown = F.when(F.col("with_style") > 1, 1 - F.col("n_log_n") / F.col("with_style") / base("with_style")).when(F.col("with_style") == 1, 1.0)
+    weight = 1 - F.pow(F.lit(DECAY), F.col("styles"))
+    # A path without text of its own isn't judged: its leaves are.
+    importance = F.when(F.col("with_style").isNull() | content.isNull(), content).otherwise(weight * shown + (1 - weight) * content)
+    return tree.select("host", "path", F.greatest("with_text", "with_style").alias("pages"), importance.alias("importance"))
 
 
 def main_text(blocks: list[Block], cut: set[str]) -> str:
