@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import OP2_SQL, op2_benchmark_decontamination
 from .html_text import op8_site_style_tree
 from .language_model import op6_kneser_ney_quality
+from .near_dedup import op3_dart_minhash
 from .packing import op4_hilbert_packing
 from .quality_rules import OP9_SQL, op9_quality_cascade
 from .toxicity import op5_compression_toxicity
@@ -16,6 +17,7 @@ from .sharding import OP7_SQL, op7_rendezvous_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_dart_minhash": op3_dart_minhash,
     "op4_hilbert_packing": op4_hilbert_packing,
     "op5_compression_toxicity": op5_compression_toxicity,
     "op6_kneser_ney_quality": op6_kneser_ney_quality,

@@ -4,10 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that their Python can import it wherever the driver runs."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="tessera-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,6 +50,7 @@ def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     although several later plans read it.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -46,6 +66,7 @@ def passed(df: DataFrame, inputs: dict, fn, fields: str, keep: list[str] | None
     import pyarrow as pa
     from pyspark.sql import functions as F
 
+    ship(df.sparkSession)
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]).alias("_row"), *[c.alias(n) for n, c in inputs.items()])
     out = spark_schema(packed, fields)
     names = list(inputs)
@@ -67,3 +88,34 @@ def spark_schema(packed: DataFrame, fields: str):
     from pyspark.sql import types as T
 
     return T.StructType([packed.schema["_row"], *T.StructType.fromDDL(fields).fields])
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): the least node of each connected component, for every node of ``links``.
+
+    Alternates large-star and small-star steps until the edges no longer change. Each step aggregates with
+    partial minima and joins on the node, where a hub's rows can be split; edges stay in the cluster and are
+    staged after each round.
+    """
+    from pyspark.sql import functions as F
+
+    def star(edges: DataFrame, both: bool) -> DataFrame:
+        turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        near = edges.unionByName(turned) if both else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        met = near.join(least, "u")
+        moved = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if both else met.select(F.col("v").alias("u"), F.col("m").alias("v"))
+        if not both:
+            moved = moved.unionByName(least.select("u", F.col("m").alias("v")))
+        return moved.where("u <> v").distinct()
+
+    edges = staged(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
+    before = None
+    while True:
+        size = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if size == before or not size[0]:
+            break
+        before = size
+        edges = staged(star(star(edges, True), False))
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return found.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
