@@ -12,6 +12,7 @@ from .language_model import op6_kneser_ney_quality
 from .near_dedup import op3_dart_minhash
 from .packing import op4_hilbert_packing
 from .quality_rules import OP9_SQL, op9_quality_cascade
+from .substring_tree import op10_prefix_interval_tree
 from .toxicity import op5_compression_toxicity
 from .sharding import OP7_SQL, op7_rendezvous_sharding
 
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_rendezvous_sharding": op7_rendezvous_sharding,
     "op8_site_style_tree": op8_site_style_tree,
     "op9_quality_cascade": op9_quality_cascade,
+    "op10_prefix_interval_tree": op10_prefix_interval_tree,
 }
 
 ORACLE_SQL: dict[str, str] = {
