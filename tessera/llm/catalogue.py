@@ -11,12 +11,14 @@ from .html_text import op8_site_style_tree
 from .language_model import op6_kneser_ney_quality
 from .near_dedup import op3_dart_minhash
 from .packing import op4_hilbert_packing
+from .paragraph_dedup import op1_paragraph_minhash
 from .quality_rules import OP9_SQL, op9_quality_cascade
 from .substring_tree import op10_prefix_interval_tree
 from .toxicity import op5_compression_toxicity
 from .sharding import OP7_SQL, op7_rendezvous_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_paragraph_minhash": op1_paragraph_minhash,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_dart_minhash": op3_dart_minhash,
     "op4_hilbert_packing": op4_hilbert_packing,

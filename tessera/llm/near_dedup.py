@@ -195,29 +195,21 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                     a.append(centre)
                     b.append(key)
                     s.append(sim)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+            key_type = batch.schema.field("key").type
+            yield pa.RecordBatch.from_arrays([pa.array(a, key_type), pa.array(b, key_type), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
-    return laid.mapInArrow(compared, "a binary, b binary, similarity double")
+    kind = texts.schema["key"].dataType.simpleString()
+    return laid.mapInArrow(compared, f"a {kind}, b {kind}, similarity double")
 
 
-def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): every row's (key, id), and verified links (a, b, similarity) between different texts.
+def linked(multi: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Verified links (a, b, similarity) among the (band, key) rows of ``multi``; ``texts`` has (key, text).
 
-    Candidates share a band. A band's texts are compared with one centre first; the links found join them into
-    classes. Bands whose texts are in several classes still are compared with another centre, and after three
-    rounds all their remaining pairs of different classes are, so that classes are those of all candidate pairs
-    although pairs inside a class are never enumerated.
+    A band's texts are compared with one centre first; the links found join them into classes. Bands whose
+    texts are in several classes still are compared with another centre, and after three rounds all their
+    remaining pairs of different classes are, so that classes are those of all candidate pairs although pairs
+    inside a class are never enumerated.
     """
-    rows = staged(signed(docs, id_col, text_col))
-    distinct = rows.groupBy("key").agg(F.min("id").alias("pick"), F.any_value("bands").alias("bands"))
-    banded = distinct.select("key", "pick", F.explode("bands").alias("band"))
-    several = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    multi = staged(banded.join(several, "band"))
-    keys = multi.select(F.col("key").alias("_key"), F.col("pick").alias("_pick")).distinct()
-    # One row for each text: the one with the least id. Copies under one id are alike, and links are distinct.
-    keyed = docs.select(text_key(F.col(f"`{text_col}`")).alias("key"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    picked = keyed.join(keys, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_pick")), "left_semi").select("key", "text")
-    texts = staged(picked)
     links, labels = None, None
     for turn in range(ROUNDS + 1):
         if labels is None:
@@ -240,8 +232,27 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lea
         if turn < ROUNDS:
             labels = staged(components(links))
     if links is None:
-        links = docs.sparkSession.createDataFrame([], "a binary, b binary, similarity double")
-    return rows.select("key", "id"), links
+        kind = multi.schema["key"].dataType.simpleString()
+        return multi.sparkSession.createDataFrame([], f"a {kind}, b {kind}, similarity double")
+    return links
+
+
+def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(rows, links): every row's (key, id), and verified links (a, b, similarity) between different texts.
+
+    Candidates share a band.
+    """
+    rows = staged(signed(docs, id_col, text_col))
+    distinct = rows.groupBy("key").agg(F.min("id").alias("pick"), F.any_value("bands").alias("bands"))
+    banded = distinct.select("key", "pick", F.explode("bands").alias("band"))
+    several = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    multi = staged(banded.join(several, "band"))
+    keys = multi.select(F.col("key").alias("_key"), F.col("pick").alias("_pick")).distinct()
+    # One row for each text: the one with the least id. Copies under one id are alike, and links are distinct.
+    keyed = docs.select(text_key(F.col(f"`{text_col}`")).alias("key"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    picked = keyed.join(keys, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_pick")), "left_semi").select("key", "text")
+    texts = staged(picked)
+    return rows.select("key", "id"), linked(multi, texts, least)
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
