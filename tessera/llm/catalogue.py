@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .decontamination import OP2_SQL, op2_benchmark_decontamination
 from .html_text import op8_site_style_tree
 from .language_model import op6_kneser_ney_quality
@@ -28,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_site_style_tree": op8_site_style_tree,
     "op9_quality_cascade": op9_quality_cascade,
     "op10_prefix_interval_tree": op10_prefix_interval_tree,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

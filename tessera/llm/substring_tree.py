@@ -82,11 +82,15 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k1, k2, id, text): 96 bits of hash name a row; rows alike in id and text share it and their fate."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, whole: bool = False) -> DataFrame:
+    """(k1, k2, id, text): 96 bits of hash name a row; rows alike in id and text share it and their fate.
+
+    With ``whole``, id is the struct of all columns, which then travel along.
+    """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    one = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
-    return one.select(F.xxhash64("id", "text").alias("k1"), F.hash("text", "id").alias("k2"), "id", "text")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]) if whole else F.col(f"`{id_col}`")
+    one = docs.select(F.col(f"`{id_col}`").alias("_name"), row.alias("id"), text.alias("text"))
+    return one.select(F.xxhash64("_name", "text").alias("k1"), F.hash("text", "_name").alias("k2"), "id", "text")
 
 
 def anchored(rows: DataFrame) -> DataFrame:
@@ -268,14 +272,15 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
-def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """(id, text, runs) for every row: the whole text and the disjoint byte runs to remove from it.
+def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, whole: bool = False) -> DataFrame:
+    """(id, text, runs) for every row: the whole text and the disjoint byte runs to remove from it. With
+    ``whole``, id is the struct of all columns but the text.
 
     Strings are judged on the input; overlapping and self-overlapping ones count; matches never cross texts. Null
     and empty texts and those under 200 bytes have no runs; rows alike repeat each other and lose all their
     bytes; an empty table gives no rows. One shuffle of the texts serves both joins with them.
     """
-    rows = keyed(docs, id_col, text_col)
+    rows = keyed(docs, id_col, text_col, whole)
     joined = rows.join(removals(rows, group=group), ["k1", "k2"], "left")
 
     def made(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -289,6 +294,24 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", g
     return done.select("_row.id", "_row.text", "runs")
 
 
+def stripped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+    """``docs`` with its columns, texts without their repeated strings; what a cut leaves of a split character goes too.
+
+    Texts that lose nothing stay as they are; a null text becomes the empty one; texts that lose all go whole.
+    """
+    found = remove(docs, id_col=id_col, text_col=text_col, group=group, whole=True)
+
+    def cut(batch: pa.RecordBatch) -> list[pa.Array]:
+        texts = [
+            without(text.encode("utf-8", "surrogatepass"), [(r["s"], r["e"]) for r in runs]).decode("utf-8", "ignore") if runs else text
+            for text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        ]
+        return [pa.array(texts, pa.string()), pa.array([bool(r) and not t.strip() for r, t in zip(batch.column(1).to_pylist(), texts, strict=True)])]
+
+    done = passed(found, {"_text": F.col("text"), "_runs": F.col("runs")}, cut, "text string, gone boolean", ["id"]).where("not gone")
+    return done.select(*[(F.col("text") if c == text_col else F.col(f"_row.id.`{c}`")).alias(c) for c in docs.columns])
+
+
 def digest(removed: DataFrame) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of what remove() found."""
 
