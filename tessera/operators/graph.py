@@ -76,13 +76,18 @@ def expand(seeds: DataFrame, edges: DataFrame, depth: int = 1, max_expanded: int
 
     ``seeds`` has (question, id, score, pos). A neighbour's score is its parent's less 0.05, not below 0; the first
     visit wins, in the order of the parent, then scope, name and id; at most ``max_expanded`` rows are added. One
-    join for each hop, all questions at once; only the reached set is carried.
+    join for each hop, all questions at once; only the reached set is carried. Where seeds have a direction, so
+    have the edges and must share it; where seeds have a depth, it bounds their own hops.
     """
-    reached = seeds.select("question", "id", F.lit(0).alias("graph_distance"), F.col("score").cast("double").alias("graph_score"), F.col("pos").cast("long").alias("pos"))
+    carried = [c for c in ("direction", "depth") if c in seeds.columns]
+    reached = seeds.select("question", *carried, "id", F.lit(0).alias("graph_distance"), F.col("score").cast("double").alias("graph_score"), F.col("pos").cast("long").alias("pos"))
     frontier = reached
     for hop in range(1, depth + 1):
-        step = frontier.join(edges, F.col("id") == F.col("src")).select(
-            "question", F.col("dst").alias("id"), F.lit(hop).alias("graph_distance"), F.greatest(F.round(F.col("graph_score") - 0.05, 9), F.lit(0.0)).alias("graph_score"),
+        start = frontier.withColumnRenamed("id", "src")
+        if "depth" in carried:
+            start = start.where(F.col("depth") >= hop)
+        step = start.join(edges, ["src", "direction"] if "direction" in carried else ["src"]).select(
+            "question", *carried, F.col("dst").alias("id"), F.lit(hop).alias("graph_distance"), F.greatest(F.round(F.col("graph_score") - 0.05, 9), F.lit(0.0)).alias("graph_score"),
             F.struct("pos", "tier", "name", "dst").alias("_by"),
         )
         new = step.join(reached.select("question", "id"), ["question", "id"], "left_anti")
@@ -93,9 +98,9 @@ def expand(seeds: DataFrame, edges: DataFrame, depth: int = 1, max_expanded: int
         if max_expanded is not None:
             taken = reached.where("graph_distance > 0").groupBy("question").agg(F.count(F.lit(1)).alias("_taken"))
             new = new.join(taken, "question", "left").where(F.col("pos") + F.coalesce("_taken", F.lit(0)) <= max_expanded)
-        frontier = new.select("question", "id", "graph_distance", "graph_score", "pos")
+        frontier = new.select("question", *carried, "id", "graph_distance", "graph_score", "pos")
         reached = reached.unionByName(frontier)
-    return reached.drop("pos")
+    return reached.drop("pos", *carried)
 
 
 def ordered(expanded: DataFrame) -> DataFrame:

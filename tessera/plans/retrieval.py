@@ -27,14 +27,21 @@ DIMENSIONS = 64
 
 def hashed_embedding(t: Column, dimensions: int = DIMENSIONS) -> Column:
     """Stand-in embedder: signed token hashes summed over ``dimensions``, brought to length 1."""
-    words = text.tokens(t)
-    h = F.transform(words, lambda w: F.xxhash64(w))
-    cells = F.transform(
-        F.sequence(F.lit(0), F.lit(dimensions - 1)),
-        lambda i: F.aggregate(h, F.lit(0.0), lambda s, x: s + F.when(F.pmod(x, F.lit(dimensions)) == i, F.when(F.shiftright(x, 40) % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0)),
-    )
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)
-    return F.transform(cells, lambda x: x / F.greatest(F.sqrt(total(cells)), F.lit(1e-9)))
+    def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+        return F.element_at(F.transform(F.array(value), use), 1)  # evaluates ``value`` once
+
+    def cells(h: Column) -> Column:
+        at = F.transform(h, lambda x: F.pmod(x, F.lit(dimensions)))
+        sign = F.transform(h, lambda x: F.when(F.shiftright(x, 40) % 2 == 0, 1.0).otherwise(-1.0))
+        pairs = F.arrays_zip(at.alias("at"), sign.alias("sign"))
+        own = lambda z, i: F.aggregate(z, F.lit(0.0), lambda s, x: s + F.when(x["at"] == i, x["sign"]).otherwise(0.0))
+        return bound(pairs, lambda z: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: own(z, i)))
+
+    def unit(c: Column) -> Column:
+        length = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+        return bound(length, lambda n: F.transform(c, lambda x: x / F.greatest(n, F.lit(1e-9))))
+
+    return bound(bound(F.transform(text.tokens(t), lambda w: F.xxhash64(w)), cells), unit)
 
 
 def lexical_scorer(question: Column, document: Column) -> Column:
@@ -102,14 +109,16 @@ def sync(old: DataFrame, old_files: DataFrame, new_files: DataFrame, repo_id: st
 
 
 def retrieve(
-    repo: Repository, questions: DataFrame, *, top_k: int = 20, embed: Callable[[Column], Column] = hashed_embedding, expand_graph: bool = True, max_expanded: int = 15
+    repo: Repository, questions: DataFrame, *, top_k: int = 20, embed: Callable[[Column], Column] = hashed_embedding, expand_graph: bool = True, max_expanded: int = 15,
+    keep_state: Callable[[DataFrame], DataFrame] = DataFrame.persist,
 ) -> DataFrame:
     """Hybrid retrieval for rewritten questions (question, question_text, summary, phrases, intent, direction, depth).
 
     The question's and the summary's vectors are searched apart and their lists joined end to end; the question,
     its phrases and the symbols found for them are searched lexically, a chunk keeping its best score; both are
     fused, production code preferred, an exact name put first; for intents that ask for it, the best five are
-    expanded along the call graph and what is new is appended.
+    expanded along the call graph and what is new is appended. ``keep_state`` keeps the fused rows and the edges,
+    which are read several times.
     """
     asked = lambda c: questions.select("question", embed(F.col(c)).alias("vector"))
     first = nearest.nearest(repo.vectors, asked("question_text"), top_k)
@@ -124,14 +133,16 @@ def retrieve(
     rows = rows.withColumn("graph_distance", F.lit(0))
     if not expand_graph:
         return rows
-    best = rows.join(questions.where(F.col("intent").isin(*GRAPH_INTENTS)).select("question", "direction", "depth"), "question").where("retrieval_rank < 5")
-    added = None
+    rows = keep_state(rows)
+    sides = {side: graph.neighbour_edges(repo.chunks, side) for side in ("callees", "callers")}
+    edges = None
     for direction in DIRECTIONS:
-        edges = graph.neighbour_edges(repo.chunks, direction)
-        for depth in (1, 2):
-            seeds = best.where((F.col("direction") == direction) & (F.col("depth") == depth)).select("question", "id", "score", F.col("retrieval_rank").alias("pos"))
-            found = graph.expand(seeds, edges, depth, max_expanded).where("graph_distance > 0")
-            added = found if added is None else added.unionByName(found)
+        for side in sides if direction == "both" else (direction,):
+            one = sides[side].withColumn("direction", F.lit(direction))
+            edges = one if edges is None else edges.unionByName(one)
+    best = rows.join(questions.where(F.col("intent").isin(*GRAPH_INTENTS)).select("question", "direction", "depth"), "question").where("retrieval_rank < 5")
+    seeds = best.select("question", "direction", "depth", "id", "score", F.col("retrieval_rank").alias("pos"))
+    added = graph.expand(seeds, keep_state(edges), 2, max_expanded).where("graph_distance > 0")
     new = added.join(rows.select("question", "id"), ["question", "id"], "left_anti").join(repo.chunks, "id").withColumnRenamed("graph_score", "score")
     new = new.join(questions.select("question", "question_text", "intent"), "question").withColumn("retrieval_rank", F.lit(1000) + F.col("graph_distance"))
     return rows.unionByName(new.select(*rows.columns))

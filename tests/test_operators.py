@@ -156,23 +156,27 @@ def test_files_keep_underscored_names(spark, tmp_path):
     assert set(got) == {"pkg/__init__.py", "pkg/_priv.py", "fits.py"} and got["pkg/_priv.py"] == "�"
 
 
-def test_retrieval_and_sync_over_a_small_tree(spark):
+def test_sync_equals_a_rebuild(spark):
     made = chunks.chunk_python(fixtures.files(spark), "r").cache()
-    repo = retrieval.build(made)
-    asked = spark.createDataFrame([("q", "helper")], "question string, answer string")
-    rewritten = retrieval.normalise_rewrites(asked).withColumn("question_text", F.lit("helper")).withColumn("intent", F.lit("debug"))
-    rows = retrieval.retrieve(repo, rewritten, top_k=3).cache()
-    assert rows.orderBy("retrieval_rank").first().name == "helper"
-    assert rows.select("id").distinct().count() == rows.count()
-    prompts, low = retrieval.answer_prompts(repo, rewritten, spark.createDataFrame([("debug", "Find the fault.")], "intent string, instruction string"))
-    assert not low.first().low and prompts.first().prompt.startswith("Find the fault.")
-    new = spark.createDataFrame([("shop/basket.py", fixtures.MODULE.replace("x):", "x, z=1):"))], "path string, content string")
+    new = spark.createDataFrame([("shop/basket.py", fixtures.MODULE.replace("helper(x):", "helper(x, z=1):"))], "path string, content string")
     whole, counts = retrieval.sync(made, fixtures.files(spark), new, "r")
-    rebuilt = retrieval.build(chunks.chunk_python(new, "r")).chunks
-    assert {(r.id, tuple(r.called_by)) for r in whole.collect()} == {(r.id, tuple(r.called_by)) for r in rebuilt.collect()}
+    again = chunks.chunk_python(new, "r")
+    called = {r.id: tuple(r.called_by) for r in graph.invert(again).collect()}
+    assert {(r.id, tuple(r.called_by)) for r in whole.collect()} == {(r.id, called.get(r.id, ())) for r in again.collect()}
     assert counts.first().changed == 1
 
 
+def test_hybrid_retrieval_puts_the_named_symbol_first(spark):
+    made = chunks.chunk_python(fixtures.files(spark), "r").withColumn("called_by", F.array().cast("array<string>")).cache()
+    index = lexical.build_index(made, F.col("id"), F.col("text"), F.col("name"))
+    held = lexical.Index(index.postings.cache(), index.terms.cache(), index.totals.cache())
+    repo = retrieval.Repository(made, made.select("id", retrieval.hashed_embedding(F.col("text")).alias("vector")).cache(), held, made.limit(0))
+    asked = spark.createDataFrame([("q", "helper")], "question string, answer string")
+    rewritten = retrieval.normalise_rewrites(asked).withColumn("question_text", F.lit("helper")).cache()
+    rows = retrieval.retrieve(repo, rewritten, top_k=3, expand_graph=False).collect()
+    assert min(rows, key=lambda r: r.retrieval_rank).name == "helper" and len({r.id for r in rows}) == len(rows)
+
+
 def test_agent_stops_when_the_evidence_is_enough(spark):
     asked = spark.createDataFrame([(1, "how does save_file work"), (2, "what is zebra_zone")], "question int, question_text string")
     ddl = "question int, id string, name string, file string, type string, raw_source string, calls array<string>, called_by array<string>, score double"
