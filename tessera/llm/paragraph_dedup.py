@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, ship, staged, table
-from .near_dedup import SHINGLE, SIMILARITY, _mix, linked
+from .common import ship, staged, table
+from .near_dedup import SHINGLE, SIMILARITY, _mix, linked, verified
 from .substring_tree import keyed
 
 #: Neighbours on either side that a paragraph's first word is less than; a paragraph has more words than that.
@@ -128,6 +128,14 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     return rows.select("k1", "k2", "id", "text").mapInArrow(made, f"k1 long, k2 int, id {kind}, key long, start int, end int, first int, last int, bands array<long>")
 
 
+def in_pairs(rest: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links between different classes of (band, key, class) rows. Two equal minima are rare between paragraphs
+    that aren't alike, so what is left after the centres is few."""
+    x, y = rest.alias("x"), rest.alias("y")
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.class") != F.col("y.class")))
+    return verified(met.select(F.col("x.key").alias("centre"), F.col("y.key").alias("key")).distinct(), texts, least)
+
+
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, start, end, class_id, n_copies, removed) for every occurrence of a repeated paragraph.
 
@@ -151,7 +159,8 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     listed = picked.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("key", "at.start", "at.end")).alias("parts"))
     cut = rows.join(listed, ["k1", "k2"]).select("text", F.inline("parts"))
     texts = staged(cut.select("key", F.expr("substring(text, start + 1, end - start)").alias("text")).dropDuplicates(["key"]))
-    classes = staged(components(linked(near, texts, least)).withColumnRenamed("node", "key"))
+    _, labels = linked(near, texts, least, in_pairs)
+    classes = labels.withColumnRenamed("node", "key")
     placed = staged(places.join(classes, "key", "left").withColumn("class_id", F.coalesce("component", "key")))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", "start", "end")
     sizes = placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_copies"), F.min(order).alias("one")).where("n_copies > 1")
