@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _shipped: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -18,6 +19,8 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
+    if spark.conf.get(_BATCH) == "10000":  # Spark's default; whole texts need smaller batches
+        spark.conf.set(_BATCH, "2000")
     package = Path(__file__).resolve().parents[1]
     archive = Path(tempfile.mkdtemp(prefix="tessera-code-")) / f"{package.name}.zip"
     with zipfile.ZipFile(archive, "w") as out:

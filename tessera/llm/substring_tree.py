@@ -29,7 +29,7 @@ from .common import passed, staged, table
 LENGTH, GRAM = 200, 40
 REACH = LENGTH - GRAM  # positions of an anchor in a string of LENGTH bytes, less one
 #: Distinct surroundings of one anchor that one task sorts (some 360 bytes each); more are counted string by string.
-GROUP = 4096
+GROUP = 65_536
 
 _tables: dict[str, np.ndarray] = {}
 _U = np.uint64
@@ -179,6 +179,8 @@ def _in_groups(contexts: DataFrame) -> DataFrame:
                 if g != gram:
                     out += done(group) if len(group) > 1 else []
                     gram, group = g, []
+                if group and group[-1][0] == around:
+                    continue  # rows alike in id and text give the same bytes twice
                 group.append((around, before[::-1], after, n))
             if len(out) > 10_000:
                 yield _cover(out)
@@ -226,8 +228,7 @@ def _contexts(reps: DataFrame, rows: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["gram", "around", "before", "after", "n"])
 
-    # Rows alike in id and text give the same bytes twice.
-    return joined.mapInArrow(cut, "gram long, around long, before binary, after binary, n long").dropDuplicates(["gram", "around"])
+    return joined.mapInArrow(cut, "gram long, around long, before binary, after binary, n long")
 
 
 def removals(rows: DataFrame, *, group: int = GROUP) -> DataFrame:
@@ -246,8 +247,9 @@ def removals(rows: DataFrame, *, group: int = GROUP) -> DataFrame:
         covered = _in_groups(_contexts(reps.join(large, "gram", "left_anti"), rows)).unionByName(_string_by_string(_contexts(reps.join(large, "gram", "left_semi"), rows)))
     whole = shared.where("not mixed").select("k1", "k2", "pos", F.lit(REACH).alias("left"), F.lit(LENGTH).alias("right"))
     partly = mixed.join(covered, ["gram", "around"]).select("k1", "k2", "pos", "left", "right")
+    # Staged, so that the shuffles behind it are gone before the texts are shuffled again for the last join.
     spans = whole.unionByName(partly).select("k1", "k2", F.struct((F.col("pos") - F.col("left")).alias("s"), (F.col("pos") + F.col("right")).alias("e")).alias("span"))
-    return spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+    return staged(spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("span")).alias("spans")))
 
 
 def merged(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
@@ -278,7 +280,7 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", g
 
     Strings are judged on the input; overlapping and self-overlapping ones count; matches never cross texts. Null
     and empty texts and those under 200 bytes have no runs; rows alike repeat each other and lose all their
-    bytes; an empty table gives no rows. One shuffle of the texts serves both joins with them.
+    bytes; an empty table gives no rows.
     """
     rows = keyed(docs, id_col, text_col, whole)
     joined = rows.join(removals(rows, group=group), ["k1", "k2"], "left")
