@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, staged, table
@@ -23,10 +23,6 @@ REACH = 7
 #: Bands of two minima: a pair of similarity 0.8 shares one with a probability of 0.983, equal paragraphs all.
 BANDS, ROWS = 4, 2
 
-#: Repeated paragraphs that follow each other count from so many words on: a passage of over 50 words leaves more
-#: than that between its first and last inner cut, a shared line or phrase less.
-LEAST_WORDS = 20
-
 _U = np.uint64
 _MAX = _U(0xFFFFFFFFFFFFFFFF)
 _tables: dict[str, np.ndarray] = {}
@@ -87,9 +83,10 @@ def paragraphs_of(text: str) -> list[tuple[int, int, int, int, int, list[int]]]:
     cuts = cuts_of(words)
     first, last = cuts[:-1], cuts[1:]
     long = last - first > REACH
+    if not long.any():  # a short text whose cuts leave too little on all sides is one paragraph
+        cuts = np.array([0, len(words)])
+        first, last, long = cuts[:-1], cuts[1:], np.ones(1, bool)
     first, last = first[long], last[long]
-    if not len(first):
-        return []
     m = len(words) - SHINGLE + 1
     shingle = np.full(m + 1, SHINGLE, np.uint64)
     for i in range(SHINGLE):
@@ -136,12 +133,13 @@ def in_pairs(rest: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return verified(met.select(F.col("x.key").alias("centre"), F.col("y.key").alias("key")).distinct(), texts, least)
 
 
-def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(id, start, end, class_id, n_copies, removed) for every occurrence of a repeated paragraph.
 
     start and end are places in characters; class_id names the class; all of its occurrences but the first (by
-    id, then place) are removed. Paragraphs of seven words or fewer, null and empty texts have no rows; rows
-    alike repeat each other; null ids come last; an empty table gives no rows.
+    id, then place) are removed. Every repeated paragraph has its rows, however few words it shares with its neighbours.
+    Paragraphs of seven words or fewer, null and empty texts have no rows; rows alike repeat each other; null ids
+    come last; an empty table gives no rows.
 
     Bands are counted before they are joined, so only paragraphs that collide are moved on; a class of very
     many copies is one row while it is compared, and joins back by name, where its rows can be split.
@@ -152,7 +150,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     often = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     multi = staged(banded.join(often, "band").distinct())
     names = multi.select("key").distinct()
-    places = staged(found.select("k1", "k2", "id", "key", "start", "end", "first", "last").join(names, "key"))
+    places = staged(found.select("k1", "k2", "id", "key", "start", "end").join(names, "key"))
     spread = multi.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band")
     near = staged(multi.join(spread, "band"))
     picked = places.join(near.select("key").distinct(), "key").groupBy("key").agg(F.min(F.struct("k1", "k2", "start", "end")).alias("at"))
@@ -165,14 +163,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     order = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", "start", "end")
     sizes = placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_copies"), F.min(order).alias("one")).where("n_copies > 1")
     joined = placed.join(sizes, "class_id").withColumn("removed", order != F.col("one"))
-    # Runs of paragraphs that follow each other in their text, which is all that one window holds.
-    text = Window.partitionBy("k1", "k2").orderBy("first")
-    before = F.max("last").over(text.rangeBetween(Window.unboundedPreceding, -1))
-    opened = joined.withColumn("opens", F.when(before.eqNullSafe(F.col("first")), 0).otherwise(1))
-    numbered = opened.withColumn("run", F.sum("opens").over(text.rangeBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy("k1", "k2", "run")
-    long = numbered.withColumn("run_words", F.max("last").over(run) - F.min("first").over(run)).where(F.col("run_words") >= least_words)
-    return long.select("id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "class_id", "n_copies", "removed")
+    return joined.select("id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "class_id", "n_copies", "removed")
 
 
 def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
