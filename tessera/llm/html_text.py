@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import passed, staged, table
+from .near_dedup import text_key
 
 #: Element names by their role in a page.
 BLOCKS = frozenset(
@@ -40,8 +41,8 @@ NAMES = frozenset(
     "navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion related "
     "replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-#: A path of at least so many different pages is template below this importance.
-PAGES, IMPORTANCE, DECAY = 10, 0.3, 0.9
+#: A path is template below this importance, once blended with PRIOR pages of importance 1: few pages say little.
+IMPORTANCE, PRIOR, DECAY = 0.3, 1, 0.9
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _NAMED = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -189,21 +190,27 @@ TEXT, PRESENT, STYLE = 0, 1, 2
 _ROW = pa.struct([("path", pa.string()), ("kind", pa.int32()), ("feature", pa.int64())])
 
 
-def style_tree(pages: DataFrame, *, host: str = "_host", html_col: str = "_html") -> DataFrame:
-    """(host, path, pages, importance) over the distinct pages of every host.
+def features(pages: DataFrame, *, host: str = "_host", html_col: str = "_html") -> DataFrame:
+    """(host, key, page, rows) of every page: the key of its source, the digest of its blocks, what it tells of its paths."""
+
+    def found(batch: pa.RecordBatch) -> list[pa.Array]:
+        both = [_features(x) for x in batch.column(0).to_pylist()]
+        return [pa.array([p for p, _ in both], pa.int64()), pa.array([r for _, r in both], pa.list_(_ROW))]
+
+    keyed = pages.select(F.col(host).alias("host"), text_key(F.col(html_col)).alias("key"), F.col(html_col).alias("_text"))
+    seen = passed(keyed, {"_text": F.col("_text")}, found, "page long, rows array<struct<path:string,kind:int,feature:long>>", ["host", "key"])
+    return seen.select("_row.host", "_row.key", "page", "rows")
+
+
+def style_tree(seen: DataFrame) -> DataFrame:
+    """(host, path, pages, importance) over the distinct pages of every host, of rows of features().
 
     Content: 1 minus the mean, over the different texts of a path, of the entropy of a text's spread over the
     pages that have the path, to the base of their number. Presentation: the entropy of the child sequences.
     A path with both weighs the presentation by 1 - 0.9**n of its n child sequences, as in the composite
     importance of a style tree. All is counted by aggregation with partial sums, so a large host is no large task.
     """
-
-    def found(batch: pa.RecordBatch) -> list[pa.Array]:
-        both = [_features(x) for x in batch.column(0).to_pylist()]
-        return [pa.array([p for p, _ in both], pa.int64()), pa.array([r for _, r in both], pa.list_(_ROW))]
-
-    seen = passed(pages, {"_text": F.col(html_col)}, found, "page long, rows array<struct<path:string,kind:int,feature:long>>", [host])
-    one = seen.select(F.col(f"_row.{host}").alias("host"), "page", "rows").dropDuplicates(["host", "page"])
+    one = seen.select("host", "page", "rows").dropDuplicates(["host", "page"])
     counted = one.select("host", F.inline("rows")).groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
     of = lambda kind, value: F.when(F.col("kind") == kind, value)
     tree = counted.groupBy("host", "path").agg(
@@ -243,17 +250,18 @@ def extract(pages: DataFrame, *, html_col: str = "html", url_col: str = "url", k
 
     Pages without a host (null or odd urls) form one site of their own. Null and empty pages give an empty text;
     repeated pages count once in the tree and are all returned; very long pages are read whole; an empty table
-    gives no rows. Every page joins its host's list of template paths: only paths of a hundredth of the host's
-    pages or more can be on it, so the list stays short however large the host is.
+    gives no rows. Every path of every host is judged, on however few of its pages it is. Template paths meet the
+    branches of each page, so a page gets those of its own branches only and no list grows with its host.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     kept = pages.columns if keep is None else keep
     sites = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_page"), host.alias("_host"), F.col(html_col).cast("string").alias("_html"))
-    tree = style_tree(sites.select("_host", "_html"))
-    size = tree.groupBy("host").agg(F.max("pages").alias("site_pages"))
-    template = tree.join(size, "host").where((F.col("pages") >= PAGES) & (F.col("pages") * 100 >= F.col("site_pages")) & (F.col("importance") < IMPORTANCE))
-    cut = staged(template.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("_cut")))
-    joined = sites.join(cut, sites["_host"] == cut["host"], "left").select("_page", "_html", "_cut")
+    seen = staged(features(sites.select("_host", "_html")))
+    blended = (F.col("pages") * F.col("importance") + PRIOR) / (F.col("pages") + PRIOR)
+    template = staged(style_tree(seen).where(blended < IMPORTANCE).select("host", "path"))
+    branches = seen.select("host", "key", F.explode(F.expr("array_distinct(rows.path)")).alias("path"))
+    cut = staged(branches.join(template, ["host", "path"]).groupBy("host", "key").agg(F.collect_set("path").alias("_cut")))
+    joined = sites.join(cut, (sites["_host"] == cut["host"]) & (text_key(sites["_html"]) == cut["key"]), "left").select("_page", "_html", "_cut")
 
     def text(batch: pa.RecordBatch) -> list[pa.Array]:
         return [pa.array([main_text(parse(h), set(c or ())) for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.string())]
