@@ -29,8 +29,8 @@ K = BANDS * ROWS
 RUN = 500
 #: Rounds in which each band of several classes is compared with one centre before the rest is compared in blocks.
 ROUNDS = 1
-#: Texts in a block, and places of 120 in which the signatures of a pair must agree to be verified there.
-BLOCK, AGREE = 1000, 84
+#: Texts in a block.
+BLOCK = 1000
 _CACHE = 300_000
 
 _U = np.uint64
@@ -250,9 +250,9 @@ def in_blocks(rest: DataFrame, texts: DataFrame, least: float, block: int = BLOC
     """Links between different classes inside bands (band, key, class).
 
     A band's texts are dealt into blocks of about ``block``, and each task gets two blocks (or one), so no task
-    holds a large band. Only verified links leave it. Signatures, made anew for these few texts, choose what is
-    verified: those of a pair of similarity 0.8 agree in AGREE of 120 places but for 2 in 1000 cases; a pair is
-    looked at in the first band that it shares.
+    holds a large band. Only verified links leave it. Every pair of different classes in a block is counted: what
+    two texts share is the number of their common unit regions, found for one text against all others at once, and
+    pairs whose sizes alone rule them out are passed over. A link is given in the first band that its texts share.
     """
     sizes = rest.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = rest.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
@@ -262,17 +262,30 @@ def in_blocks(rest: DataFrame, texts: DataFrame, least: float, block: int = BLOC
 
     def pairs_of(group: list[tuple]) -> Iterator[tuple]:
         band, lo, hi = group[0][:3]
-        sigs = np.array([_signature_of(g[6]) for g in group])
-        bands = np.array([bands_of(s) for s in sigs])
-        class_ = np.array([hash(g[5]) for g in group])
+        names: dict = {}
+        class_ = np.array([names.setdefault(g[5], len(names)) for g in group])
+        if len(names) < 2:
+            return
         own = np.array([g[3] for g in group])
-        for i in range(len(group)):
-            agree = (sigs[i + 1 :] == sigs[i]).sum(axis=1) >= AGREE
-            agree &= class_[i + 1 :] != class_[i]
+        regions = [regions_of(shingles_of(words_of(g[6])))[0] for g in group]
+        size = np.array([len(r) for r in regions])
+        known, code = np.unique(np.concatenate(regions), return_inverse=True)
+        codes = np.split(code, np.cumsum(size)[:-1])
+        mark = np.zeros(len(known), np.int32)
+        for i in range(len(group) - 1):
+            later = size[i + 1 :]
+            open_ = (class_[i + 1 :] != class_[i]) & (np.minimum(later, size[i]) >= least * np.maximum(later, size[i]))
             if lo != hi:
-                agree &= own[i + 1 :] != own[i]
-            for j in (np.flatnonzero(agree) + i + 1).tolist():
-                if bands[i][bands[i] == bands[j]].min() != band:
+                open_ &= own[i + 1 :] != own[i]
+            met = np.flatnonzero(open_) + i + 1
+            if not len(met):
+                continue
+            mark[codes[i]] = 1
+            both = np.add.reduceat(mark[np.concatenate([codes[j] for j in met])], np.cumsum(size[met]) - size[met])
+            mark[codes[i]] = 0
+            for j in met[both / (size[i] + size[met] - both) >= least].tolist():
+                x, y = (bands_of(_signature_of(group[k][6])) for k in (i, j))
+                if x[x == y].min() != band:
                     continue
                 if (sim := similarity(counted_shingles(group[i][6]), counted_shingles(group[j][6]))) >= least:
                     yield (*sorted((group[i][4], group[j][4])), sim)
