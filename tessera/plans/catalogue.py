@@ -373,8 +373,17 @@ def call_graph_inversion(spark, d):
 @query(f"""WITH {_LINKS}, n AS (SELECT DISTINCT target AS name FROM l WHERE target LIKE 'T%'), x AS (SELECT url AS source, target FROM l WHERE target IN (SELECT name FROM n))
 SELECT DISTINCT source, target FROM x""")
 def explorer_edges(spark, d):
+    return _explorer_edges(spark, d, F.startswith("name", F.lit("T")))
+
+
+@query()
+def explorer_edges_whole(spark, d):
+    return _explorer_edges(spark, d, F.lit(True))
+
+
+def _explorer_edges(spark, d, shown):
     pages = graph.pages_as_chunks(table(spark, d, "pages"))
-    targets = pages.select(F.explode("calls").alias("name")).distinct().where(F.startswith("name", F.lit("T")))
+    targets = pages.select(F.explode("calls").alias("name")).distinct().where(shown)
     return graph.explorer_edges(pages.select("name", "calls").unionByName(targets.withColumn("calls", F.array().cast("array<string>"))))
 
 
@@ -384,15 +393,19 @@ def symbol_search(spark, d):
     return graph.find_symbols(parts, "A")
 
 
-def _sparse_edges(spark, d):
-    pairs = table(spark, d, "lineitem").where("l_quantity = 50 and l_discount >= 0.09").select("l_suppkey", "l_partkey").distinct()
+#: The rows that bfs_expand's SQL reads; the queries without SQL read all of lineitem.
+_SPARSE = "l_quantity = 50 and l_discount >= 0.09"
+
+
+def _edges(spark, d, rows="true"):
+    pairs = table(spark, d, "lineitem").where(rows).select("l_suppkey", "l_partkey").distinct()
     down = pairs.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
     both = down.unionByName(down.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return both.withColumn("tier", F.lit(1)).withColumn("name", F.col("dst"))
 
 
-def _seeds(spark, d):
-    return _sparse_edges(spark, d).where(F.startswith("src", F.lit("s"))).select("src").distinct().select(
+def _seeds(spark, d, rows="true"):
+    return _edges(spark, d, rows).where(F.startswith("src", F.lit("s"))).select("src").distinct().select(
         F.col("src").alias("question"), F.col("src").alias("id"), F.lit(1.0).alias("score"), F.lit(0).alias("pos")
     )
 
@@ -404,12 +417,17 @@ e AS (SELECT s AS src, t AS dst FROM p UNION ALL SELECT t, s FROM p)"""
 @query(f"""WITH RECURSIVE {_EDGES}, w(question, id, hop) AS (SELECT DISTINCT s, s, 0 FROM p UNION SELECT question, dst, hop + 1 FROM w JOIN e ON src = id WHERE hop < 2)
 SELECT question, id, min(hop)::INT AS graph_distance, round(1.0::DOUBLE - 0.05::DOUBLE * min(hop), 9) AS graph_score FROM w GROUP BY ALL""")
 def bfs_expand(spark, d):
-    return graph.expand(_seeds(spark, d), _sparse_edges(spark, d), depth=2, max_expanded=None)
+    return graph.expand(_seeds(spark, d, _SPARSE), _edges(spark, d, _SPARSE), depth=2, max_expanded=None)
+
+
+@query()
+def bfs_expand_whole(spark, d):
+    return graph.expand(_seeds(spark, d), _edges(spark, d), depth=2, max_expanded=None)
 
 
 @query()
 def bfs_capped(spark, d):
-    return graph.ordered(graph.expand(_seeds(spark, d), _sparse_edges(spark, d), depth=3, max_expanded=15))
+    return graph.ordered(graph.expand(_seeds(spark, d), _edges(spark, d), depth=3, max_expanded=15))
 
 
 # -- fixtures of source code ---------------------------------------------------------------------------------------
@@ -486,9 +504,18 @@ SELECT question, id, len(list_filter(calls, lambda c: list_contains(names, c) OR
   round(score + least(len(list_filter(calls, lambda c: list_contains(names, c) OR list_contains(bare, c))), 4) * 0.05::DOUBLE + sibling * 0.15::DOUBLE, 9) AS priority
 FROM l JOIN o USING (question) JOIN s USING (question, id)""")
 def structural_priority(spark, d):
+    return _structural_priority(spark, d, "l_discount >= 0.1")
+
+
+@query()
+def structural_priority_whole(spark, d):
+    return _structural_priority(spark, d, "true")
+
+
+def _structural_priority(spark, d, read):
     k = F.col("l_partkey")
     name = lambda c: F.concat(F.lit("m"), c.cast("string"))
-    rows = table(spark, d, "lineitem").where("l_discount >= 0.1").select(
+    rows = table(spark, d, "lineitem").where(read).select(
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("question"), F.concat(F.lit("p"), k.cast("string")).alias("id"), (F.lit(1.0) / (1 + k % 9)).alias("score"),
         F.concat(F.lit("c"), (k % 5).cast("string"), F.lit("."), name(k)).alias("name"), F.array(name(k + 1), name(k + 200)).alias("calls"),
     ).distinct().withColumn("called_by", F.array().cast("array<string>"))
