@@ -5,74 +5,43 @@ region at which darts are thrown by hash, one after another in rank; a dart hits
 signature, and each coordinate keeps the earliest dart. Two texts agree in a coordinate with a probability equal
 to their weighted Jaccard similarity, and the work for a text is one draw for each unit of weight and some
 K * ln(K) darts, not K draws for each element. Signatures are joined in bands, candidates are verified exactly
-and classes are the connected components of verified links.
+on their unit regions and classes are the connected components of verified links.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, passed, staged, table
+from .common import hot_join, passed, release, staged, table
+from .linking import linked
+from .words import hashed_words, mix, shingles
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 24 bands of 5: a pair of similarity 0.8 shares none with a probability of 0.00007.
 BANDS, ROWS = 24, 5
 K = BANDS * ROWS
-#: Members of a candidate group that are verified in one run against a copy of its centre.
-RUN = 500
-#: Rounds in which each band of several classes is compared with one centre before the rest is compared in blocks.
-ROUNDS = 1
-#: Texts in a block.
-BLOCK = 1000
-_CACHE = 300_000
 
 _U = np.uint64
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def _unit(h: np.ndarray) -> np.ndarray:
     """Uniform in (0, 1]."""
     return ((h >> _U(11)).astype(np.float64) + 1) / (1 << 53)
 
 
-class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-_words = _Words()
+def words_of(text: str | None) -> np.ndarray:
+    """Hashes of the words in lower case."""
+    return hashed_words(text or "")[0]
 
 
-def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
-
-
-def shingles_of(words: list[str]) -> np.ndarray:
+def shingles_of(words: np.ndarray) -> np.ndarray:
     """A hash of every five consecutive words; a text of fewer words is one shingle, one without words none."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    n = min(SHINGLE, len(words))
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    m = len(h) - n + 1
-    out = np.full(m, n, np.uint64)
-    for i in range(n):
-        out = _mix(out * _U(0x9E3779B97F4A7C15) + h[i : i + m])
-    return out
+    return shingles(words, SHINGLE)
 
 
 def regions_of(elements: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -84,25 +53,25 @@ def regions_of(elements: np.ndarray, weights: np.ndarray | None = None) -> tuple
         e = np.sort(elements)
         new = np.concatenate([[True], e[1:] != e[:-1]])
         at = np.arange(len(e)) - np.maximum.accumulate(np.where(new, np.arange(len(e)), 0))
-        return _mix(e + at.astype(np.uint64) * _U(0xD1B54A32D192ED03)), np.ones(len(e))
+        return mix(e + at.astype(np.uint64) * _U(0xD1B54A32D192ED03)), np.ones(len(e))
     whole = np.ceil(weights).astype(np.int64)
     at = np.arange(whole.sum()) - np.repeat(np.cumsum(whole) - whole, whole)
     share = np.minimum(1.0, np.repeat(weights, whole) - at)
-    return _mix(np.repeat(elements, whole) + at.astype(np.uint64) * _U(0xD1B54A32D192ED03)), share
+    return mix(np.repeat(elements, whole) + at.astype(np.uint64) * _U(0xD1B54A32D192ED03)), share
 
 
 def _darts(regions: np.ndarray, share: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """(rank, hash) of all darts of rank at most ``reach``: a unit-rate Poisson stream for each region."""
     if len(regions) < 64:
         n = int(reach + 8 * reach**0.5 + 12)
-        h = _mix(regions[:, None] + np.arange(1, n + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+        h = mix(regions[:, None] + np.arange(1, n + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
         rank = np.cumsum(-np.log(_unit(h)), axis=1)
         keep = rank <= reach
         ranks, hashes, shares = rank[keep], h[keep], np.broadcast_to(share[:, None], h.shape)[keep]
     else:
         found, left, width, rank, k = [], regions, share, np.zeros(len(regions)), 1
         while len(left):
-            h = _mix(left + _U((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
+            h = mix(left + _U((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
             rank = rank - np.log(_unit(h))
             keep = rank <= reach
             left, width, rank = left[keep], width[keep], rank[keep]
@@ -110,7 +79,7 @@ def _darts(regions: np.ndarray, share: np.ndarray, reach: float) -> tuple[np.nda
             k += 1
         ranks, hashes, shares = (np.concatenate(x) for x in zip(*found, strict=True))
     if (shares < 1).any():
-        keep = _unit(_mix(hashes ^ _U(0xA0761D6478BD642F))) <= shares
+        keep = _unit(mix(hashes ^ _U(0xA0761D6478BD642F))) <= shares
         ranks, hashes = ranks[keep], hashes[keep]
     return ranks, hashes
 
@@ -121,7 +90,7 @@ def signature(elements: np.ndarray, weights: np.ndarray | None = None, k: int =
     reach = k * (np.log(k) + 3) / share.sum()
     while True:
         rank, h = _darts(regions, share, reach)
-        at = (_mix(h ^ _U(0xE7037ED1A0B428DB)) % _U(k)).astype(np.int64)
+        at = (mix(h ^ _U(0xE7037ED1A0B428DB)) % _U(k)).astype(np.int64)
         order = np.argsort(-rank, kind="stable")
         out, hit = np.zeros(k, np.uint64), np.zeros(k, bool)
         out[at[order]] = h[order]
@@ -135,7 +104,7 @@ def bands_of(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     rows = sig.reshape(bands, -1)
     h = np.arange(bands, dtype=np.uint64)
     for i in range(rows.shape[1]):
-        h = _mix(h * _U(0x9E3779B97F4A7C15) + rows[:, i])
+        h = mix(h * _U(0x9E3779B97F4A7C15) + rows[:, i])
     return h.view(np.int64)
 
 
@@ -167,179 +136,43 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 def counted_shingles(text: str | None) -> Counter:
-    w = words_of(text)
+    w = (text or "").lower().split()
     return Counter(zip(*(w[i:] for i in range(SHINGLE)))) if len(w) >= SHINGLE else Counter([tuple(w)] if w else [])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Of the pairs (centre, key), those of weighted Jaccard similarity ``least`` or more.
+def regions(docs: DataFrame) -> DataFrame:
+    """(key, items): the unit regions of each (key, text), by which texts are compared exactly."""
 
-    The pairs of a centre are dealt out in runs of some RUN members, each with a copy of the centre, so no task
-    holds a large group and no text is moved more often than it has centres.
-    """
-    runs = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("runs"))
-    member = pairs.join(runs, "centre").select("centre", F.pmod(F.xxhash64("key"), F.col("runs")).cast("int").alias("run"), F.lit(1).alias("is_member"), "key")
-    centre = runs.select("centre", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(0).alias("is_member"), F.col("centre").alias("key"))
-    dealt = member.unionByName(centre).join(texts, "key")
-    laid = dealt.repartition("centre", "run").sortWithinPartitions("centre", "run", "is_member").select("centre", "run", "is_member", "key", "text")
-
-    def compared(batches):
-        at, middle = None, Counter()
-        for batch in batches:
-            a, b, s = [], [], []
-            for centre, run, is_member, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not is_member:
-                    if at != (centre, run):
-                        at, middle = (centre, run), counted_shingles(text)
-                    continue
-                other = counted_shingles(text)
-                small, large = sorted((middle.total(), other.total()))
-                if small >= least * large and (sim := similarity(middle, other)) >= least:
-                    a.append(centre)
-                    b.append(key)
-                    s.append(sim)
-            key_type = batch.schema.field("key").type
-            yield pa.RecordBatch.from_arrays([pa.array(a, key_type), pa.array(b, key_type), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
-
-    kind = texts.schema["key"].dataType.simpleString()
-    return laid.mapInArrow(compared, f"a {kind}, b {kind}, similarity double")
-
-
-def linked(multi: DataFrame, texts: DataFrame, least: float, compare: Callable[[DataFrame, DataFrame, float], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(links, labels): verified links (a, b, similarity) among the (band, key) rows of ``multi``, and the (node,
-    component) that they make; ``texts`` has (key, text).
-
-    A band's texts are compared with one centre first, the one with most company in its bands; the links found
-    join them into classes. In bands whose texts are in several classes still, ``compare`` finds the links between
-    different classes. So classes are those of all
-    candidate pairs, although pairs inside a class are never looked at.
-    """
-    company = multi.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
-    degree = multi.join(company, "band").groupBy("key").agg(F.sum("n").alias("degree"))
-    multi = staged(multi.select("band", "key").join(degree, "key"))
-    links, labels = None, None
-    for turn in range(ROUNDS + 1):
-        if labels is None:
-            classed = multi.withColumn("class", F.col("key"))
-        else:
-            classed = multi.join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "degree", F.coalesce("component", "key").alias("class"))
-        order = F.struct((-F.col("degree") if turn == 0 else F.xxhash64("key", F.lit(turn))).alias("by"), F.col("key"), F.col("class"))
-        spread = classed.groupBy("band").agg(F.min(order).alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
-        open_bands = spread.select("band", F.col("c.key").alias("centre"), F.col("c.class").alias("own"))
-        if turn < ROUNDS:
-            tried = staged(classed.join(open_bands, "band").where(F.col("class") != F.col("own")).select("centre", "key").distinct())
-            found = verified(tried, texts, least)
-        else:
-            tried = staged(classed.join(open_bands.select("band"), "band").select("band", "key", "class"))
-            found = compare(tried, texts, least)
-        if tried.isEmpty():
-            break
-        found = staged(found.dropDuplicates(["a", "b"]))
-        links = found if links is None else links.unionByName(found)
-        # What is known so far counts as edges, so only the new links are left to spread.
-        known = found.select("a", "b") if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found.select("a", "b"))
-        labels = staged(components(known))
-    if links is None:
-        kind = multi.schema["key"].dataType.simpleString()
-        empty = lambda ddl: multi.sparkSession.createDataFrame([], ddl)
-        return empty(f"a {kind}, b {kind}, similarity double"), empty(f"node {kind}, component {kind}")
-    return links, labels
-
-
-def in_blocks(rest: DataFrame, texts: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """Links between different classes inside bands (band, key, class).
-
-    A band's texts are dealt into blocks of about ``block``, and each task gets two blocks (or one), so no task
-    holds a large band. Only verified links leave it. Every pair of different classes in a block is counted: what
-    two texts share is the number of their common unit regions, found for one text against all others at once, and
-    pairs whose sizes alone rule them out are passed over. A link is given in the first band that its texts share.
-    """
-    sizes = rest.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = rest.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "class").join(texts, "key")
-    laid = dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").select("band", "lo", "hi", "own", "key", "class", "text")
-
-    def pairs_of(group: list[tuple]) -> Iterator[tuple]:
-        band, lo, hi = group[0][:3]
-        names: dict = {}
-        class_ = np.array([names.setdefault(g[5], len(names)) for g in group])
-        if len(names) < 2:
-            return
-        own = np.array([g[3] for g in group])
-        regions = [regions_of(shingles_of(words_of(g[6])))[0] for g in group]
-        size = np.array([len(r) for r in regions])
-        known, code = np.unique(np.concatenate(regions), return_inverse=True)
-        codes = np.split(code, np.cumsum(size)[:-1])
-        mark = np.zeros(len(known), np.int32)
-        for i in range(len(group) - 1):
-            later = size[i + 1 :]
-            open_ = (class_[i + 1 :] != class_[i]) & (np.minimum(later, size[i]) >= least * np.maximum(later, size[i]))
-            if lo != hi:
-                open_ &= own[i + 1 :] != own[i]
-            met = np.flatnonzero(open_) + i + 1
-            if not len(met):
-                continue
-            mark[codes[i]] = 1
-            both = np.add.reduceat(mark[np.concatenate([codes[j] for j in met])], np.cumsum(size[met]) - size[met])
-            mark[codes[i]] = 0
-            for j in met[both / (size[i] + size[met] - both) >= least].tolist():
-                x, y = (bands_of(_signature_of(group[k][6])) for k in (i, j))
-                if x[x == y].min() != band:
-                    continue
-                if (sim := similarity(counted_shingles(group[i][6]), counted_shingles(group[j][6]))) >= least:
-                    yield (*sorted((group[i][4], group[j][4])), sim)
-
-    def compared(batches):
-        group: list[tuple] = []
-        for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and row[:3] != group[0][:3]:
-                    out += pairs_of(group)
-                    group = []
-                group.append(row)
-            kind = batch.schema.field("key").type
-            yield _links(out, kind)
-        if group:
-            yield _links(list(pairs_of(group)), kind)
-
-    kind = texts.schema["key"].dataType.simpleString()
-    return laid.mapInArrow(compared, f"a {kind}, b {kind}, similarity double")
-
-
-def _links(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((kind, kind, pa.float64()))], names=["a", "b", "similarity"])
-
-
-_signatures: dict[str, np.ndarray] = {}
-
-
-def _signature_of(text: str) -> np.ndarray:
-    if text not in _signatures:
-        if len(_signatures) > 20_000:
-            _signatures.clear()
-        _signatures[text] = signature(shingles_of(words_of(text)))
-    return _signatures[text]
+    def made(batch: pa.RecordBatch) -> list[pa.Array]:
+        found = [regions_of(shingles_of(words_of(t)))[0].view(np.int64) for t in batch.column(0).to_pylist()]
+        ends = np.cumsum([0, *map(len, found)])
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))]
+
+    return passed(docs, {"text": F.col("text")}, made, "items array<long>", ["key"]).select("_row.key", "items")
 
 
 def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, links, labels): every row's (key, id), verified links (a, b, similarity) between different texts, and
-    the (node, component) of all texts that have some.
+    """(rows, links, labels): every row's (key, id), verified links (a, b, similarity) that connect all alike among
+    different texts, and the (node, component) of all texts that have some.
 
     Candidates share a band.
     """
     rows = staged(signed(docs, id_col, text_col))
     distinct = rows.groupBy("key").agg(F.min("id").alias("pick"), F.any_value("bands").alias("bands"))
-    banded = distinct.select("key", "pick", F.explode("bands").alias("band"))
-    several = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    multi = staged(banded.join(several, "band"))
+    banded = staged(distinct.where(F.size("bands") > 0))
+    each = banded.select("key", "pick", F.explode("bands").alias("band"))
+    several = staged(each.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"))
+    multi = staged(hot_join(each, several, "band"))
+    release(banded, several)
     keys = multi.select(F.col("key").alias("_key"), F.col("pick").alias("_pick")).distinct()
-    # One row for each text: the one with the least id. Copies under one id are alike, and links are distinct.
+    # One row for each text: the one with the least id. Copies under one id are alike, so any of them will do.
     keyed = docs.select(text_key(F.col(f"`{text_col}`")).alias("key"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     picked = keyed.join(keys, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_pick")), "left_semi").select("key", "text")
-    texts = staged(picked)
-    return rows.select("key", "id"), *linked(multi, texts, least, in_blocks)
+    sets = staged(regions(picked).dropDuplicates(["key"]))
+    sized = multi.select("band", "key").join(sets.select("key", F.size("items").alias("size")), "key")
+    links, labels = linked(sized, sets, least)
+    release(multi, sets)
+    return rows.select("key", "id"), links, labels
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -354,19 +187,25 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     classed = rows.join(known, "key", "left").select("key", "id", F.coalesce("component", "key").alias("class_key"))
     classed = staged(classed)
     first = classed.groupBy("class_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
-    return classed.join(first, "class_key").select(
+    return hot_join(classed, first, "class_key").select(
         "key", "id", "class_key", F.col("first.id").alias("class_id"), (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))).alias("keep")
     )
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of every class, all columns as they were."""
+    """``docs`` with one row of every class, all columns as they were, whatever their names.
+
+    Null and repeated ids, equal rows, null and empty texts and empty tables are treated as in classes(): one row of each class
+    stays, of rows alike in id and text any one.
+    """
     kept = classes(docs, id_col=id_col, text_col=text_col, least=least).where("keep")
-    picks = kept.groupBy(F.col("key").alias("_key"), F.col("id").alias("_id")).agg((F.count(F.lit(1)) > 1).alias("_again"))
-    met = docs.join(picks, (text_key(F.col(f"`{text_col}`")) == F.col("_key")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_id")))
-    met = staged(met)
-    again = met.where("_again").dropDuplicates(["_key", "_id"])
-    return met.where("not _again").unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    picks = staged(kept.groupBy(F.col("key").alias("pick_key"), F.col("id").alias("pick_id")).agg((F.count(F.lit(1)) > 1).alias("again")))
+    rows = docs.select(text_key(F.col(f"`{text_col}`")).alias("own_key"), F.col(f"`{id_col}`").alias("own_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    met = rows.join(picks, (F.col("own_key") == F.col("pick_key")) & F.col("own_id").eqNullSafe(F.col("pick_id")))
+    met = staged(met.select("row", "own_key", "own_id", "again"))
+    release(picks)
+    once = met.where("again").dropDuplicates(["own_key", "own_id"])
+    return met.where("not again").unionByName(once).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 Texts have no reliable paragraph marks, and a passage may sit anywhere in a longer line. So a paragraph ends
 where its words say so: before a word that, hashed with the word before it, is less than its seven neighbours on
-either side. A passage of over 50 words thus has the same inner paragraphs wherever it stands. Paragraphs that
-collide in a band are verified by exact Jaccard similarity of their five-word shingles, and the connected
+either side. A passage of over 50 words thus has the same inner paragraphs wherever it stands.
+
+A paragraph's MinHash is bottom-k: the least hashes of its five-word shingles, each a band of its own. How many
+there are is tuned to the paragraph: as many as make two paragraphs of similarity 0.8 share one for certain, a
+fifth of the shingles and one. Colliding paragraphs are verified by exact Jaccard similarity of their shingles, and the connected
 components of what holds are the classes, of which the first occurrence stays.
 """
 
@@ -14,123 +17,129 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, staged, table
-from .near_dedup import SHINGLE, SIMILARITY, _mix, linked, verified
+from .common import hot_join, release, ship, staged, table, trim
+from .linking import GROUP_ITEMS, linked
+from .near_dedup import SHINGLE, SIMILARITY
 from .substring_tree import keyed
+from .words import CHUNK, hashed_words, mix, shingles
 
 #: Neighbours on either side that a paragraph's first word is less than; a paragraph has more words than that.
 REACH = 7
-#: Bands of two minima: a pair of similarity 0.8 shares one with a probability of 0.983, equal paragraphs all.
-BANDS, ROWS = 4, 2
 
 _U = np.uint64
 _MAX = _U(0xFFFFFFFFFFFFFFFF)
-_tables: dict[str, np.ndarray] = {}
-
-
-def _characters() -> tuple[np.ndarray, np.ndarray]:
-    """For the basic plane, each character in lower case, and whether it is white space."""
-    if "lower" not in _tables:
-        lower, space = np.arange(1 << 16, dtype=np.uint32), np.zeros(1 << 16, bool)
-        for c in range(1 << 16):
-            small = chr(c).lower()
-            if len(small) == 1 and ord(small) < 1 << 16:
-                lower[c] = ord(small)
-            space[c] = chr(c).isspace()
-        _tables["lower"], _tables["space"] = lower, space
-    return _tables["lower"], _tables["space"]
-
-
-def words_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, begin, end) of every word, places in characters."""
-    lower, space = _characters()
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    basic = np.minimum(points, 0xFFFF)
-    gap = space[basic] & (points <= 0xFFFF)
-    edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
-    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(begin):
-        return np.zeros(0, np.uint64), begin, end
-    small = np.where(points <= 0xFFFF, lower[basic], points).astype(np.uint64)
-    longest = int((end - begin).max())
-    if len(_tables.get("power", ())) < longest:
-        _tables["power"] = np.cumprod(np.full(max(longest, 1 << 10), _U(0x9E3779B97F4A7C15)))
-    inside = np.arange(len(points)) - np.repeat(np.concatenate([[0], begin]), np.diff(np.concatenate([[0], begin, [len(points)]])))
-    weighed = np.where(gap, _U(0), (small + _U(1)) * _tables["power"][np.where(gap, 0, inside)])
-    sums = np.concatenate([[_U(0)], np.cumsum(weighed)])
-    return _mix(sums[end] - sums[begin]), begin, end
-
-
-def cuts_of(words: np.ndarray) -> np.ndarray:
-    """Where paragraphs begin, and the number of words at the end."""
-    n = len(words)
-    h = np.full(n + 2 * REACH, _MAX)
-    h[REACH + 1 : REACH + n] = _mix(words[:-1] * _U(0xD1B54A32D192ED03) + words[1:])
-    own = h[REACH : REACH + n]
-    cut = own < _MAX
-    for d in range(1, REACH + 1):
-        cut &= (own < h[REACH - d : REACH - d + n]) & (own <= h[REACH + d : REACH + d + n])
-    # The first word's place has no word before it, so it never wins; the text's ends cut by themselves.
-    return np.concatenate([[0], np.flatnonzero(cut), [n]])
-
-
-def paragraphs_of(text: str) -> list[tuple[int, int, int, int, int, list[int]]]:
-    """(name, start, end, first, last, bands) of each paragraph of more than REACH words: its place in characters
-    and in words."""
-    words, begin, end = words_of(text)
-    if len(words) <= REACH:
-        return []
-    cuts = cuts_of(words)
-    first, last = cuts[:-1], cuts[1:]
-    long = last - first > REACH
-    if not long.any():  # a short text whose cuts leave too little on all sides is one paragraph
-        cuts = np.array([0, len(words)])
-        first, last, long = cuts[:-1], cuts[1:], np.ones(1, bool)
-    first, last = first[long], last[long]
-    m = len(words) - SHINGLE + 1
-    shingle = np.full(m + 1, SHINGLE, np.uint64)
-    for i in range(SHINGLE):
-        shingle[:m] = _mix(shingle[:m] * _U(0x9E3779B97F4A7C15) + words[i : i + m])
-    spans = np.column_stack([first, last - SHINGLE + 1]).ravel()
-    least = [np.minimum.reduceat(_mix(shingle ^ _mix(np.full(1, j + 1, np.uint64))), spans)[::2] for j in range(BANDS * ROWS)]
-    bands = []
-    for b in range(BANDS):
-        h = np.full(len(first), b, np.uint64)
-        for j in range(ROWS):
-            h = _mix(h * _U(0x9E3779B97F4A7C15) + least[b * ROWS + j])
-        bands.append(h)
-    at = np.arange(len(words)) - np.repeat(cuts[:-1], np.diff(cuts))
-    placed = np.append(_mix(words + at.astype(np.uint64) * _U(0xA0761D6478BD642F)), _U(0))
-    name = _mix(np.add.reduceat(placed, np.column_stack([first, last]).ravel())[::2] + (last - first).astype(np.uint64))
-    return list(zip(name.view(np.int64).tolist(), begin[first].tolist(), end[last - 1].tolist(), first.tolist(), last.tolist(), np.column_stack(bands).view(np.int64).tolist(), strict=True))
-
-
-def paragraphs(rows: DataFrame) -> DataFrame:
-    """(k1, k2, id, key, start, end, first, last, bands) of the paragraphs of ``rows`` of keyed()."""
+
+
+def cuts_of(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where paragraphs begin in the words of several texts, which begin at ``first`` (the last entry is the end)."""
+    n, counts = len(words), np.diff(first)
+    at = np.arange(n) + REACH * (np.repeat(np.arange(len(counts)), counts) + 1)  # texts stand REACH places apart
+    h = np.full(n + REACH * (len(counts) + 1), _MAX)
+    if n:
+        own = np.concatenate([[_MAX], mix(words[:-1] * _U(0xD1B54A32D192ED03) + words[1:])])
+        own[first[:-1][counts > 0]] = _MAX  # a text's first word has none before it
+        h[at] = own
+        cut = own < _MAX
+        for d in range(1, REACH + 1):
+            cut &= (own < h[at - d]) & (own <= h[at + d])
+        cut[first[:-1][counts > 0]] = True
+        return np.flatnonzero(cut)
+    return np.zeros(0, np.int64)
+
+
+def paragraphs_of(texts: list[str], least: float = SIMILARITY, whole: bool = False) -> tuple[np.ndarray, ...]:
+    """(text, name, start, end, size, bands, ends) of the paragraphs of more than REACH words of ``texts``.
+
+    A paragraph has its text's number, a hash of its words, its place in characters and its number of different
+    shingles; ``bands`` holds the bands of one after another, up to ``ends``: its least shingles, or all
+    of them with ``whole``. A text of more than REACH words whose cuts leave too little everywhere is one paragraph.
+    """
+    parts = [hashed_words(t) for t in texts]
+    first = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]).astype(np.int64)
+    words, begin, end = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    cuts = cuts_of(words, first)
+    stops = np.concatenate([cuts[1:], [len(words)]]) if len(cuts) else cuts
+    text = np.searchsorted(first, cuts, side="right") - 1
+    long = stops - cuts > REACH
+    held = np.bincount(text, weights=long, minlength=len(texts)) > 0
+    alone = ~held & (np.diff(first) > REACH)
+    cuts, stops = np.concatenate([cuts[long], first[:-1][alone]]), np.concatenate([stops[long], first[1:][alone]])
+    order = np.argsort(cuts, kind="stable")
+    cuts, stops = cuts[order], stops[order]
+    text = np.searchsorted(first, cuts, side="right") - 1
+    n = stops - cuts
+    if not len(cuts):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none, none, none
+    of = np.repeat(np.arange(len(cuts)), n)
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    placed = mix(words[np.repeat(cuts, n) + inside] + inside.astype(_U) * _U(0xA0761D6478BD642F))
+    name = mix(np.add.reduceat(placed, np.cumsum(n) - n) + n.astype(_U))
+    m = n - SHINGLE + 1
+    h = mix(shingles(words, SHINGLE)[np.repeat(cuts, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)])
+    of = np.repeat(np.arange(len(cuts)), m)
+    order = np.lexsort((h, of))
+    h = h[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])
+    h, of = h[new], of[new]
+    size = np.bincount(of, minlength=len(cuts))
+    if not whole:
+        most = size - np.ceil(size * least - 1e-9).astype(np.int64) + 1
+        keep = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size) < most[of]
+        h, of = h[keep], of[keep]
+    ends = np.cumsum(np.bincount(of, minlength=len(cuts)))
+    return text, name.view(np.int64), begin[cuts], end[stops - 1], size, h.view(np.int64), ends
+
+
+def _groups(texts: list[str]):
+    """(number of texts before, texts) in groups of about CHUNK characters; a longer text is a group of its own."""
+    begin, held = 0, 0
+    for k, t in enumerate(texts):
+        if held and held + len(t) > CHUNK:
+            yield begin, texts[begin:k]
+            begin, held = k, 0
+        held += len(t)
+    if begin < len(texts):
+        yield begin, texts[begin:]
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values))
+
+
+def paragraphs(rows: DataFrame, least: float) -> DataFrame:
+    """(k1, k2, id, key, start, end, size, bands) of the paragraphs of ``rows`` of keyed()."""
     ship(rows.sparkSession)
 
     def made(batches):
         for batch in batches:
-            row, cols = [], [[] for _ in range(6)]
-            for k, text in enumerate(batch.column(3).to_pylist()):
-                for found in paragraphs_of(text):
-                    row.append(k)
-                    for col, v in zip(cols, found, strict=True):
-                        col.append(v)
-            at = pa.array(row, pa.int64())
-            kinds = (pa.int64(), *[pa.int32()] * 4, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["k1", "k2", "id", "key", "start", "end", "first", "last", "bands"])
+            for before, texts in _groups(batch.column(3).to_pylist()):
+                text, name, start, end, size, bands, ends = paragraphs_of(texts, least)
+                at = pa.array(text + before)
+                small = (pa.array(x.astype(np.int32)) for x in (start, end, size))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(name), *small, _lists(bands, ends)], names=["k1", "k2", "id", "key", "start", "end", "size", "bands"])
+        trim()
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("k1", "k2", "id", "text").mapInArrow(made, f"k1 long, k2 int, id {kind}, key long, start int, end int, first int, last int, bands array<long>")
+    return rows.select("k1", "k2", "id", "text").mapInArrow(made, f"k1 long, k2 int, id {kind}, key long, start int, end int, size int, bands array<long>")
 
 
-def in_pairs(rest: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links between different classes of (band, key, class) rows. Two equal minima are rare between paragraphs
-    that aren't alike, so what is left after the centres is few."""
-    x, y = rest.alias("x"), rest.alias("y")
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.class") != F.col("y.class")))
-    return verified(met.select(F.col("x.key").alias("centre"), F.col("y.key").alias("key")).distinct(), texts, least)
+def shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, items): the different shingles of the paragraphs ``wanted`` (k1, k2, keys), read from their texts again."""
+
+    def made(batches):
+        for batch in batches:
+            keys, own = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            for before, texts in _groups(own):
+                text, name, _, _, _, items, ends = paragraphs_of(texts, whole=True)
+                begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+                sets = [set(k) for k in keys[before : before + len(texts)]]
+                pick = np.array([k in sets[t] for t, k in zip(text.tolist(), name.tolist(), strict=True)], dtype=bool)
+                some = [items[a:b] for a, b in zip(begins[pick], ends[pick], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(name[pick]), _lists(np.concatenate([np.zeros(0, np.int64), *some]), np.cumsum([len(s) for s in some], dtype=np.int64))], names=["key", "items"])
+        trim()
+
+    return rows.join(wanted, ["k1", "k2"]).select("text", "keys").mapInArrow(made, "key long, items array<long>")
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -138,31 +147,30 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     start and end are places in characters; class_id names the class; all of its occurrences but the first (by
     id, then place) are removed. Every repeated paragraph has its rows, however few words it shares with its neighbours.
-    Paragraphs of seven words or fewer, null and empty texts have no rows; rows alike repeat each other; null ids
-    come last; an empty table gives no rows.
+    Texts of seven words or fewer, null and empty texts have no rows; rows alike repeat each other; null ids
+    come last; an empty table gives no rows; other columns are not read.
 
-    Bands are counted before they are joined, so only paragraphs that collide are moved on; a class of very
-    many copies is one row while it is compared, and joins back by name, where its rows can be split.
+    Texts are read once for all paragraphs and once more for those that collide with a different one. A
+    paragraph of very many copies is one key while it is compared; hot bands, names and classes can be split in every join.
     """
     rows = keyed(docs, id_col, text_col)
-    found = paragraphs(rows)
-    banded = found.select("key", F.explode("bands").alias("band"))
-    often = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    multi = staged(banded.join(often, "band").distinct())
-    names = multi.select("key").distinct()
-    places = staged(found.select("k1", "k2", "id", "key", "start", "end").join(names, "key"))
-    spread = multi.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band")
-    near = staged(multi.join(spread, "band"))
-    picked = places.join(near.select("key").distinct(), "key").groupBy("key").agg(F.min(F.struct("k1", "k2", "start", "end")).alias("at"))
-    listed = picked.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("key", "at.start", "at.end")).alias("parts"))
-    cut = rows.join(listed, ["k1", "k2"]).select("text", F.inline("parts"))
-    texts = staged(cut.select("key", F.expr("substring(text, start + 1, end - start)").alias("text")).dropDuplicates(["key"]))
-    _, labels = linked(near, texts, least, in_pairs)
-    classes = labels.withColumnRenamed("node", "key")
-    placed = staged(places.join(classes, "key", "left").withColumn("class_id", F.coalesce("component", "key")))
+    found = staged(paragraphs(rows, least))
+    banded = found.select("key", "size", F.explode("bands").alias("band"))
+    mixed = staged(banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band"))
+    multi = staged(hot_join(banded, mixed, "band").distinct())
+    picked = hot_join(found.select("k1", "k2", "key"), multi.select("key").distinct(), "key").groupBy("key").agg(F.min(F.struct("k1", "k2")).alias("at"))
+    wanted = picked.groupBy("at.k1", "at.k2").agg(F.collect_list("key").alias("keys"))
+    sets = staged(shingle_sets(rows, wanted).dropDuplicates(["key"]))
+    _, labels = linked(multi, sets, least, centre_from=GROUP_ITEMS)
+    release(mixed, multi, sets)
+    again = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    known = labels.select(F.col("node").alias("key"), F.col("component").alias("class_id"))
+    named = staged(again.join(known, "key", "full").select("key", F.coalesce("class_id", "key").alias("class_id")))
+    placed = staged(hot_join(found.drop("bands", "size"), named, "key"))
+    release(found, named)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", "start", "end")
-    sizes = placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_copies"), F.min(order).alias("one")).where("n_copies > 1")
-    joined = placed.join(sizes, "class_id").withColumn("removed", order != F.col("one"))
+    sizes = placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_copies"), F.min(order).alias("one"))
+    joined = hot_join(placed, sizes, "class_id").withColumn("removed", order != F.col("one"))
     return joined.select("id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "class_id", "n_copies", "removed")
 
 

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from tessera.llm import html_text, near_dedup, substring_tree, toxicity
 from tessera.llm.common import components
-from tessera.llm.paragraph_dedup import cuts_of, paragraphs_of
+from tessera.llm.paragraph_dedup import paragraphs_of, repeats
 
 SF = "/root/testdata/sf0.001"
 
@@ -106,12 +106,60 @@ def test_paragraphs_of_a_passage_stay_the_same():
     for _ in range(100):
         passage = " ".join(rng.sample(words, 55))
         a, b = (" ".join(rng.sample(words, 60)) + " " + passage + " " + " ".join(rng.sample(words, 60)) for _ in range(2))
-        found += bool({p[0] for p in paragraphs_of(a)} & {p[0] for p in paragraphs_of(b)})
+        found += bool(set(paragraphs_of([a])[1]) & set(paragraphs_of([b])[1]))
     assert found >= 95
-    text = " ".join(rng.sample(words, 500))
-    places = paragraphs_of(text)
-    assert all(text[s:e] == " ".join(text.split()[f:l]) for _, s, e, f, l, _ in places)
-    assert (np.diff(cuts_of(np.arange(50, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) > 0).all()
+    texts = [" ".join(rng.sample(words, n)) for n in (500, 0, 7, 8, 30)]
+    together, apart = paragraphs_of(texts), [paragraphs_of([t]) for t in texts]
+    assert together[1].tolist() == [x for p in apart for x in p[1].tolist()] and set(together[0].tolist()) == {0, 3, 4}
+    for text, start, end in zip(*(together[k].tolist() for k in (0, 2, 3)), strict=True):
+        assert f" {texts[text]} ".find(f" {texts[text][start:end]} ") == start and len(texts[text][start:end].split()) > 7
+
+
+def sets_of(text):
+    """(name, start, end, shingles as words) of each paragraph: only where paragraphs are cut is taken from the operator."""
+    _, name, start, end, *_ = paragraphs_of([text])
+    for n, a, b in zip(name.tolist(), start.tolist(), end.tolist(), strict=True):
+        w = text[a:b].lower().split()
+        yield n, a, b, frozenset(zip(*(w[i:] for i in range(5)), strict=False))
+
+
+def test_paragraph_classes_against_brute_force(spark):
+    rng = random.Random(7)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    # Copies with a word changed here and there, so that near paragraphs abound.
+    for k, (_, text) in enumerate(docs[:60]):
+        w = text.split()
+        for at in range(0, len(w), 40):
+            w[at + rng.randrange(min(40, len(w) - at))] = f"other{k}"
+        docs.append((1000 + k, " ".join(w)))
+    held = [(i, a, b, s) for i, t in docs for _, a, b, s in sets_of(t or "")]
+    parent = list(range(len(held)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    by_shingle = {}
+    for k, (*_, s) in enumerate(held):
+        for x in s:
+            by_shingle.setdefault(x, []).append(k)
+    seen, near = set(), 0
+    for group in by_shingle.values():
+        for i in group:
+            for j in group:
+                if i < j and (i, j) not in seen:
+                    seen.add((i, j))
+                    x, y = held[i][3], held[j][3]
+                    if len(x & y) / len(x | y) >= 0.8:
+                        near += x != y
+                        parent[root(j)] = root(i)
+    size = Counter(root(k) for k in range(len(held)))
+    want = {(i, a, b, size[root(k)]) for k, (i, a, b, _) in enumerate(held) if size[root(k)] > 1}
+    got = repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert near > 20 and {(r.id, r.start, r.end, r.n_copies) for r in got} == want and len(got) == len(want)
+    one = Counter(r.class_id for r in got if not r.removed)
+    assert set(one.values()) == {1} and set(one) == {r.class_id for r in got}
 
 
 PAGE = """<html><head><title>T</title><script>var t="</p>";</script></head><body><header>Head</header><nav><ul><li>Menu</ul></nav>

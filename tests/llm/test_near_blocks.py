@@ -1,11 +1,11 @@
-"""Blocks of a band give every link between different classes, whatever the signatures agree in."""
+"""Groups give every link between alike texts, whichever way they are compared."""
 
 import random
 
-import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import near_dedup
+from tessera.llm import linking, near_dedup
 
 
 def drawn(n, seed, changed):
@@ -17,23 +17,39 @@ def drawn(n, seed, changed):
         yield " ".join(a), " ".join(a[: 184 - changed] + some(changed))
 
 
-def links(spark, pairs, least):
-    sigs = [near_dedup.signature(near_dedup.shingles_of(near_dedup.words_of(t))) for p in pairs for t in p]
+def test_pairs_just_alike_are_linked(spark):
+    pairs = list(drawn(200, 1, 20)) + list(drawn(50, 2, 21))
     texts = [(k, t) for k, t in enumerate(t for p in pairs for t in p)]
-    rest = [(int(b), k, k) for k, s in enumerate(sigs) for b in near_dedup.bands_of(s)]
-    multi = spark.createDataFrame(rest, "band long, key long, class long")
-    several = multi.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    found = near_dedup.in_blocks(multi.join(several, "band"), spark.createDataFrame(texts, "key long, text string"), least).collect()
-    want = {(2 * k, 2 * k + 1) for k in range(len(pairs)) if (near_dedup.bands_of(sigs[2 * k]) == near_dedup.bands_of(sigs[2 * k + 1])).any()}
-    return sorted((r.a, r.b) for r in found), sorted(want)
-
-
-def test_pairs_of_few_agreements_are_linked(spark):
-    agree = lambda p: int(np.equal(*(near_dedup.signature(near_dedup.shingles_of(near_dedup.words_of(t))) for t in p)).sum())
-    few = [p for p in drawn(1500, 1, 20) if agree(p) < 84]
-    assert few
-    got, want = links(spark, few, 0.8)
-    assert want and got == want
-    # Similarity (180 - 40) / (180 + 40) = 0.64, by a lower bound.
-    got, want = links(spark, list(drawn(60, 2, 40)), 0.6)
-    assert len(want) > 40 and got == want
+    got = near_dedup.classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    # (180 - 20) / (180 + 20) = 0.8 is linked, one shingle fewer isn't; 7 of 100,000 share no band.
+    assert sum(r.class_id != r.id for r in got) == 200 and all(r.id - r.class_id == r.id % 2 for r in got if r.id < 400)
+
+
+@pytest.mark.parametrize("group", [1 << 20, 900, 200])
+def test_a_large_group_is_compared_exactly(spark, group):
+    """One band of three clusters and many loners that share half of their items: whole, divided, and in blocks."""
+    rng = random.Random(3)
+    common = [rng.getrandbits(62) for _ in range(20)]
+    own = lambda k: [rng.getrandbits(62) for _ in range(k)]
+    sets = [common + own(20) for _ in range(40)]
+    for _ in range(3):
+        base = common + own(20)
+        sets += [base] + [base[: 40 - k] + own(k) for k in (1, 2, 3, 4)] + [base[:20] + own(20)]
+    alike = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    parent = list(range(len(sets)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if alike(set(sets[i]), set(sets[j])):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    want = {k: root(k) for k in range(len(sets)) if any(root(k) == root(j) for j in range(len(sets)) if j != k)}
+    frame = spark.createDataFrame(list(enumerate(sets)), "key long, items array<long>")
+    multi = frame.select(F.explode(F.array(F.lit(5).cast("long"), F.lit(6).cast("long"))).alias("band"), "key", F.size("items").alias("size"))
+    for centre_from in (0, 1 << 30):
+        _, labels = linking.linked(multi, frame, 0.8, centre_from=centre_from, group=group)
+        assert {r.node: r.component for r in labels.collect()} == want
