@@ -1,7 +1,10 @@
 """A training corpus from raw documents: quality, near-duplicates, repeated passages, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir), where docs is what its predecessor kept, and returns a DataFrame. All
-but the last return the columns of ``docs``, with rows dropped or texts cut.
+but the last return the columns of ``docs``, with rows dropped or texts cut; where a text is cut, n_chars counts what is left.
+
+In every stage null and empty texts, ties and rows alike are rows like others, columns that docs has besides pass
+through whatever their names, texts of any length are read whole, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,35 +15,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, language_model, near_dedup, packing, substring_tree
-from tessera.llm.common import staged, table
+from tessera.llm.common import release, staged, table
 
 ORACLE_SQL = None
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """``docs`` with n_chars, where there is one, as the length of the text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is within their language's bound."""
+    """Documents whose perplexity is within their language's bound. Empty texts say nothing and stay."""
     judged = language_model.judge(docs, table(spark, sf_dir, "labels"))
     return judged.where("kept").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates, the one with the least id; null and empty texts are one class."""
     return near_dedup.one_of_each(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 200 bytes that occur elsewhere too."""
-    return substring_tree.stripped(docs)
+    """Texts without strings of 200 bytes that occur elsewhere too; a text of nothing else goes, a null one becomes empty."""
+    return _counted(substring_tree.stripped(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of the benchmark."""
-    return decontamination.cut(docs, table(spark, sf_dir, "benchmark"))
+    """Texts without passages of the benchmark; a text of nothing else goes."""
+    return _counted(decontamination.cut(docs, table(spark, sf_dir, "benchmark")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences: a row for each piece, in the columns of the packing query."""
-    return packing.crc32_of_ids(packing.pack(docs, *packing.tokenizer_paths(), keep=["doc_id"]))
+    return packing.digest(docs, *packing.tokenizer_paths())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -56,5 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each stage's result is staged for the next."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+        before, docs = docs, staged(stage(spark, docs, sf_dir))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
