@@ -78,7 +78,7 @@ def _edges(hit: np.ndarray) -> list[dict]:
     return [{"start": int(a), "end": int(b)} for a, b in zip(at[::2], at[1::2], strict=True)]
 
 
-def _scan_round(docs: DataFrame, text: Column, keep: list[str], before: dict[str, Column], items: list[tuple[str, str]], size: int) -> DataFrame:
+def _scan_round(docs: DataFrame, text: Column | str, keep: list[str], before: dict[str, Column], items: list[tuple[str, str]], size: int) -> DataFrame:
     """One pass over ``docs``; ``before`` holds the items and word runs that earlier rounds have found."""
     held = docs.sparkSession.sparkContext.broadcast(items)  # at most automaton_bytes of text
     key = hashlib.sha256(repr((size, items)).encode("utf-8", "surrogatepass")).hexdigest()
@@ -141,7 +141,7 @@ def scan(
         part = items if rounds == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(rounds)) == k)
         rows = sorted((r[0], r[1]) for r in part.collect())
         if result is None:
-            result = _scan_round(docs, F.col(f"`{text_col}`").cast("string"), keep, {}, rows, window)
+            result = _scan_round(docs, text_col, keep, {}, rows, window)
         else:
             again = _scan_round(staged(result), F.col(f"_row.`{text_col}`").cast("string"), result.columns, {"_items": F.col("items"), "_runs": F.col("runs")}, rows, window)
             result = again.select(F.col("_row._row").alias("_row"), "n_words", "n_hit", "items", "runs", "spans")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import passed, staged, table
+from .common import passed, staged, table, trim
 
 #: The tokenizer's files, the separator that ends each document, the sequence length.
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -25,7 +25,7 @@ END_ID = 1
 SEQUENCE = 2048
 DIMENSIONS, BITS = 4, 12
 #: Entries of a worker's cache of pieces; at that size it starts afresh.
-CACHE = 400_000
+CACHE = 200_000
 
 _loaded: dict = {}
 _BESIDE = re.compile(r" \s|\s ")
@@ -135,18 +135,18 @@ def tokenized(docs: DataFrame, json_path: str, ranks_path: str, *, text_col: str
             place = hilbert(np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
         return [pa.array(n), pa.array(ids, pa.binary()), pa.array(place)]
 
-    return passed(docs, {"_text": F.col(f"`{text_col}`").cast("string")}, encoded, "n_tokens long, ids binary, place long", keep)
+    return passed(docs, {"_text": text_col}, encoded, "n_tokens long, ids binary, place long", keep)
 
 
-PIECE = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+PIECE = "start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def pack(
     docs: DataFrame, json_path: str, ranks_path: str, *, text_col: str = "text", id_col: str = "doc_id", length: int = SEQUENCE,
-    end_id: int = END_ID, keep: list[str] | None = None,
+    end_id: int = END_ID, keep: list[str] | None = None, with_ids: bool = True,
 ) -> DataFrame:
-    """Pieces of all rows: struct ``_row`` (all columns, or those in ``keep``) with start, length, ids,
-    doc_tokens, sequence_id and offset.
+    """Pieces of all rows: struct ``_row`` (all columns, or those in ``keep``) with start, length, ids (null unless
+    ``with_ids``), the CRC-32 of the ids as 32-bit little-endian integers, doc_tokens, sequence_id and offset.
 
     The encoded documents are staged once (2 bytes a token) and range-partitioned by (place on the curve, hash
     of the id), so documents of one place, such as copies of one text, spread over partitions too. Each
@@ -168,38 +168,30 @@ def pack(
         made = to_arrow_schema(out)
         sequence, free = TaskContext.get().partitionId() << 40, length
         for batch in batches:
-            row, cols = [], [[] for _ in range(6)]
+            row, cols = [], [[] for _ in range(7)]
             for k, (n, ids) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 at = 0
                 while at < n:
                     if not free:
                         sequence, free = sequence + 1, length
                     take = min(free, n - at)
+                    piece = ids[2 * at : 2 * (at + take)]
                     row.append(k)
-                    for col, v in zip(cols, (at, take, ids[2 * at : 2 * (at + take)], n, sequence, length - free), strict=True):
+                    crc = zlib.crc32(np.frombuffer(piece, "<u2").astype("<u4").tobytes())
+                    for col, v in zip(cols, (at, take, piece if with_ids else None, crc, n, sequence, length - free), strict=True):
                         col.append(v)
                     at, free = at + take, free - take
             rest = [pa.array(c, made.field(i + 1).type) for i, c in enumerate(cols)]
             rows = batch.column(0).take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([rows.cast(made.field(0).type) if rows.type != made.field(0).type else rows, *rest], names=made.names)
+        trim()
 
     return laid.mapInArrow(filled, out)
 
 
-def crc32_of_ids(pieces: DataFrame) -> DataFrame:
-    """doc_id and places of the pieces, with the CRC-32 of their ids as 32-bit little-endian integers."""
-    kept = pieces.select(F.col("_row.doc_id").alias("doc_id"), "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
-
-    def digest(batches):
-        for batch in batches:
-            sums = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in (0, 1, 2)), pa.array(sums, pa.int64()), *(batch.column(i) for i in (4, 5, 6))],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-            )
-
-    kind = kept.schema["doc_id"].dataType.simpleString()
-    return kept.mapInArrow(digest, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+def digest(docs: DataFrame, json_path: str, ranks_path: str) -> DataFrame:
+    """doc_id and places of the pieces of pack(), with the checksums of their ids."""
+    return pack(docs, json_path, ranks_path, keep=["doc_id"], with_ids=False).select("_row.doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -210,4 +202,4 @@ def tokenizer_paths() -> tuple[str, str]:
 
 def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return crc32_of_ids(pack(docs, *tokenizer_paths(), keep=["doc_id"]))
+    return digest(docs, *tokenizer_paths())

@@ -24,12 +24,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import passed, staged, table
+from .common import hot_join, passed, release, staged, table, trim
 
 LENGTH, GRAM = 200, 40
 REACH = LENGTH - GRAM  # positions of an anchor in a string of LENGTH bytes, less one
 #: Distinct surroundings of one anchor that one task sorts (some 360 bytes each); more are counted string by string.
 GROUP = 65_536
+#: Bytes that are searched for anchors at once; some 80 bytes each are held meanwhile.
+CHUNK = 1 << 17
 
 _tables: dict[str, np.ndarray] = {}
 _U = np.uint64
@@ -38,7 +40,7 @@ _BASE = 0x9E3779B97F4A7C15
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if "power" not in _tables or len(_tables["power"]) < n:
-        n = max(n, 1 << 17)
+        n = max(n, CHUNK + 2 * LENGTH)
         mixed = (np.arange(256, dtype=np.uint64) + _U(1)) * _U(0xD1B54A32D192ED03)
         mixed = (mixed ^ (mixed >> _U(29))) * _U(0xBF58476D1CE4E5B9)
         _tables["byte"] = mixed ^ (mixed >> _U(32))
@@ -59,8 +61,22 @@ def _sliding(x: np.ndarray, w: int, pick: np.ufunc, rest: int) -> np.ndarray:
     return pick(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors_of(raw: bytes) -> np.ndarray:
-    """Positions whose hash of GRAM bytes is least among the GRAMs of some string of LENGTH bytes; ties all count."""
+def anchors_of(raw: bytes, chunk: int = CHUNK) -> np.ndarray:
+    """Positions whose hash of GRAM bytes is least among the GRAMs of some string of LENGTH bytes; ties all count.
+
+    A position depends on its LENGTH bytes on either side only, so long texts are read in overlapping chunks.
+    """
+    if len(raw) <= chunk + 2 * LENGTH:
+        return _anchors(raw)
+    out = []
+    for a in range(0, len(raw), chunk):
+        lo = max(0, a - REACH)
+        at = _anchors(raw[lo : a + chunk + LENGTH]) + lo
+        out.append(at[(at >= a) & (at < a + chunk)])
+    return np.concatenate(out)
+
+
+def _anchors(raw: bytes) -> np.ndarray:
     n = len(raw)
     if n < LENGTH:
         return np.zeros(0, np.int64)
@@ -112,6 +128,7 @@ def anchored(rows: DataFrame) -> DataFrame:
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(gram, pa.int64()), pa.array(around, pa.int64()), pa.array(pos, pa.int32())],
                 names=["k1", "k2", "gram", "around", "pos"],
             )
+        trim()
 
     return rows.select("k1", "k2", "text").mapInArrow(made, "k1 long, k2 int, gram long, around long, pos int")
 
@@ -186,6 +203,7 @@ def _in_groups(contexts: DataFrame) -> DataFrame:
                 yield _cover(out)
                 out = []
         yield _cover(out + (done(group) if len(group) > 1 else []))
+        trim()
 
     laid = contexts.repartition("gram").sortWithinPartitions("gram", "around")
     return laid.select("gram", "around", "before", "after", "n").mapInArrow(grown, "gram long, around long, left int, right int")
@@ -232,10 +250,14 @@ def _contexts(reps: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def removals(rows: DataFrame, *, group: int = GROUP) -> DataFrame:
-    """(k1, k2, spans): for ``rows`` of keyed(), the byte ranges around their anchors that are repeated."""
+    """(k1, k2, spans): for ``rows`` of keyed(), the byte ranges around their anchors that are repeated.
+
+    Anchors of a hot string are many rows of one key: they meet counts and verdicts in joins that can split them.
+    """
     anchors = anchored(rows)
-    often = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1")
-    shared = staged(anchors.join(often, "gram").select("k1", "k2", "gram", "around", "pos", (F.col("lo") != F.col("hi")).alias("mixed")))
+    often = staged(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1"))
+    shared = staged(hot_join(anchors, often, "gram").select("k1", "k2", "gram", "around", "pos", (F.col("lo") != F.col("hi")).alias("mixed")))
+    release(often)
     mixed = shared.where("mixed")
     reps = mixed.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("one"))
     reps = staged(reps.select("gram", "around", "n", "one.k1", "one.k2", "one.pos"))
@@ -245,11 +267,14 @@ def removals(rows: DataFrame, *, group: int = GROUP) -> DataFrame:
     else:
         large = staged(large)
         covered = _in_groups(_contexts(reps.join(large, "gram", "left_anti"), rows)).unionByName(_string_by_string(_contexts(reps.join(large, "gram", "left_semi"), rows)))
+    covered = staged(covered)
     whole = shared.where("not mixed").select("k1", "k2", "pos", F.lit(REACH).alias("left"), F.lit(LENGTH).alias("right"))
     partly = mixed.join(covered, ["gram", "around"]).select("k1", "k2", "pos", "left", "right")
     # Staged, so that the shuffles behind it are gone before the texts are shuffled again for the last join.
     spans = whole.unionByName(partly).select("k1", "k2", F.struct((F.col("pos") - F.col("left")).alias("s"), (F.col("pos") + F.col("right")).alias("e")).alias("span"))
-    return staged(spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("span")).alias("spans")))
+    out = staged(spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("span")).alias("spans")))
+    release(shared, reps, covered)
+    return out
 
 
 def merged(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
@@ -274,64 +299,61 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
-def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, whole: bool = False) -> DataFrame:
-    """(id, text, runs) for every row: the whole text and the disjoint byte runs to remove from it. With
-    ``whole``, id is the struct of all columns but the text.
-
-    Strings are judged on the input; overlapping and self-overlapping ones count; matches never cross texts. Null
-    and empty texts and those under 200 bytes have no runs; rows alike repeat each other and lose all their
-    bytes; an empty table gives no rows.
-    """
+def _finished(docs: DataFrame, fn, kinds: list[pa.DataType], fields: str, *, id_col: str, text_col: str, group: int, whole: bool = False, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Each row as struct ``_row`` with what ``fn`` makes of its bytes and their runs to remove, a value for each field."""
     rows = keyed(docs, id_col, text_col, whole)
     joined = rows.join(removals(rows, group=group), ["k1", "k2"], "left")
 
     def made(batch: pa.RecordBatch) -> list[pa.Array]:
-        runs = [
-            [{"s": s, "e": e} for s, e in merged(spans, len(text.encode("utf-8", "surrogatepass")))]
-            for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-        ]
-        return [pa.array(runs, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))]
+        out = []
+        for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            raw = text.encode("utf-8", "surrogatepass")
+            out.append(fn(raw, merged(spans, len(raw))))
+        return [pa.array([row[k] for row in out], kind) for k, kind in enumerate(kinds)]
+
+    return passed(joined.select("id", "text", "spans"), {"_text": "text", "_spans": F.col("spans")}, made, fields, list(keep))
+
 
-    done = passed(joined.select("id", "text", "spans"), {"_text": F.col("text"), "_spans": F.col("spans")}, made, "runs array<struct<s:int,e:int>>", ["id", "text"])
+def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+    """(id, text, runs) for every row: the whole text and the disjoint byte runs to remove from it.
+
+    Strings are judged on the input; overlapping and self-overlapping ones count; matches never cross texts. Null
+    and empty texts and those under 200 bytes have no runs; rows alike repeat each other and lose all their
+    bytes; very long texts are searched in chunks; an empty table gives no rows; other columns are not read.
+    """
+    kinds = [pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))]
+    listed = lambda raw, runs: ([{"s": s, "e": e} for s, e in runs],)
+    done = _finished(docs, listed, kinds, "runs array<struct<s:int,e:int>>", id_col=id_col, text_col=text_col, group=group, keep=("id", "text"))
     return done.select("_row.id", "_row.text", "runs")
 
 
 def stripped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """``docs`` with its columns, texts without their repeated strings; what a cut leaves of a split character goes too.
 
-    Texts that lose nothing stay as they are; a null text becomes the empty one; texts that lose all go whole.
+    Texts that lose nothing stay as they are; a null text becomes the empty one; texts that lose all go whole. Other
+    cases as in remove().
     """
-    found = remove(docs, id_col=id_col, text_col=text_col, group=group, whole=True)
 
-    def cut(batch: pa.RecordBatch) -> list[pa.Array]:
-        texts = [
-            without(text.encode("utf-8", "surrogatepass"), [(r["s"], r["e"]) for r in runs]).decode("utf-8", "ignore") if runs else text
-            for text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-        ]
-        return [pa.array(texts, pa.string()), pa.array([bool(r) and not t.strip() for r, t in zip(batch.column(1).to_pylist(), texts, strict=True)])]
+    def cut(raw: bytes, runs: list[tuple[int, int]]) -> tuple[str, bool]:
+        text = without(raw, runs).decode("utf-8", "ignore" if runs else "surrogatepass")
+        return text, bool(runs) and not text.strip()
 
-    done = passed(found, {"_text": F.col("text"), "_runs": F.col("runs")}, cut, "text string, gone boolean", ["id"]).where("not gone")
+    done = _finished(docs, cut, [pa.string(), pa.bool_()], "text string, gone boolean", id_col=id_col, text_col=text_col, group=group, whole=True).where("not gone")
     return done.select(*[(F.col("text") if c == text_col else F.col(f"_row.id.`{c}`")).alias(c) for c in docs.columns])
 
 
-def digest(removed: DataFrame) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of what remove() found."""
+def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256): what remove() finds, in figures."""
 
-    def made(batch: pa.RecordBatch) -> list[pa.Array]:
-        size, gone, n, sha = [], [], [], []
-        for text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            raw = text.encode("utf-8", "surrogatepass")
-            kept = without(raw, [(r["s"], r["e"]) for r in runs])
-            size.append(len(raw))
-            gone.append(len(raw) - len(kept))
-            n.append(len(runs))
-            sha.append(hashlib.sha256(kept).hexdigest())
-        return [pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(n, pa.int64()), pa.array(sha)]
-
-    out = passed(removed, {"_text": F.col("text"), "_runs": F.col("runs")}, made, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["id"])
+    def figures(raw: bytes, runs: list[tuple[int, int]]) -> tuple[int, int, int, str]:
+        kept = without(raw, runs)
+        return len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()
+
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    out = _finished(docs, figures, kinds, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", id_col=id_col, text_col=text_col, group=group)
     return out.select("_row.id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op10_prefix_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digest(remove(docs)).withColumnRenamed("id", "doc_id")
+    return digest(docs).withColumnRenamed("id", "doc_id")

@@ -176,7 +176,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[s
         x = np.array([figures_of(t or "", a, b) for t in texts]).reshape(len(texts), N_FIGURES)
         return [pa.array(m.score(x), pa.float64())]
 
-    return passed(docs, {"_text": F.col(f"`{text_col}`").cast("string")}, scored, FIELDS, keep)
+    return passed(docs, {"_text": text_col}, scored, FIELDS, keep)
 
 
 def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,13 +94,13 @@ def test_near_dedup(docs, none):
 
 
 def test_substring_tree(docs, none):
-    out = substring_tree.digest(substring_tree.remove(docs)).collect()
+    out = substring_tree.digest(docs).collect()
     assert len(out) == len(rows())
     by = {r.id: r for r in out if r.id is not None}
     assert by[1].n_removed == by[1].n_bytes and by[6].n_removed == 100_000 and by[3].n_bytes == 0 and by[8].n_removed == 0
     left = {r.doc_id: r for r in substring_tree.stripped(docs).collect()}
     assert 1 not in left and left[8].text == "short" and left[8].key == "clash"
-    assert substring_tree.digest(substring_tree.remove(none)).collect() == []
+    assert substring_tree.digest(none).collect() == []
 
 
 def test_paragraphs(docs, none):

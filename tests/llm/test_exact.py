@@ -40,11 +40,18 @@ def test_repeated_strings_against_brute_force(spark):
     docs = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string")
     want = brute_removals(texts)
     for group in (65_536, 2):
-        got = {r.id: r for r in substring_tree.digest(substring_tree.remove(docs, group=group)).collect()}
+        got = {r.id: r for r in substring_tree.digest(docs, group=group).collect()}
         for k, kept in enumerate(want):
             assert got[k].kept_sha256 == hashlib.sha256(kept).hexdigest(), (group, k)
 
 
+def test_anchors_of_a_long_text_in_chunks():
+    rng = random.Random(9)
+    for n in (0, 199, 200, 700, 1000, 1239, 5000):
+        raw = bytes(rng.choice(b"ab ") for _ in range(n))
+        assert substring_tree.anchors_of(raw, 300).tolist() == substring_tree.anchors_of(raw).tolist()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.text("ab", max_size=6), st.text("ab", min_size=2, max_size=6)), min_size=2, max_size=8), st.integers(3, 8))
 def test_interval_tree_finds_the_longest_extensions(pairs, length):
