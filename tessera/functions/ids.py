@@ -26,6 +26,10 @@ def content_hash(source: Column) -> Column:
     return F.md5(source)
 
 
-def cache_key(pipeline: Column, repo: Column, question: Column, top_k: Column) -> Column:
-    """Answers are cached by pipeline too, so that two pipelines never answer for each other."""
-    return F.md5(F.concat_ws(":", F.lit("q"), pipeline, repo, question, top_k.cast("string")))
+def cache_key(repo: Column, question: Column, top_k: Column) -> Column:
+    """The key under which an answer is cached."""
+    return F.concat(F.lit("qcache:"), F.md5(F.concat_ws(":", F.lit("q"), repo, question, top_k.cast("string"))))
+
+
+def embedding_key(text: Column) -> Column:
+    return F.concat(F.lit("emb:"), F.md5(text))

@@ -20,10 +20,17 @@ PHRASE_STOP_WORDS = (
     "describe what which why when"
 ).split()
 
+#: Endings that a stem loses, the first that fits; what is put before a question that is embedded.
+SUFFIXES = ("ing", "ed", "es", "s")
+INSTRUCTION = "Represent this sentence for searching relevant passages: "
+#: Words of a question that name no symbol, for the rewriter and for the agent's phrases.
+IGNORED_WORDS = "what where when why how is are does do the a an of to in for about explain describe tell show find".split()
+AGENT_STOP_WORDS = "a an and are does do for from how in into is of on or the to what where which with why".split()
+
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of a-z, 0-9 and underscore, in order, repeats kept."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9_]", " "), " +"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
 
 
 def identifiers(text: Column) -> Column:
@@ -39,10 +46,21 @@ def without_words(words: Column, stop: list[str]) -> Column:
     return F.filter(words, lambda w: ~F.array_contains(held, F.lower(w)))
 
 
+def sole_symbol(question: Column) -> Column:
+    """The one identifier of a question that isn't an ignored word; null where there are none or several."""
+    left = without_words(identifiers(question), IGNORED_WORDS)
+    return F.when(F.size(left) == 1, F.get(left, F.lit(0)))
+
+
+def agent_phrases(query: Column) -> Column:
+    """The identifiers, dotted ones whole, of a retrieval query that aren't stop-words."""
+    return without_words(dotted_identifiers(query), AGENT_STOP_WORDS)
+
+
 def stem(word: Column) -> Column:
     """Drops one of ing, ed, es, s where more than two letters stay."""
     cut = word
-    for suffix in ("s", "es", "ed", "ing"):
+    for suffix in reversed(SUFFIXES):
         n = len(suffix)
         cut = F.when(word.endswith(suffix) & (F.length(word) - n > 2), F.substring(word, F.lit(1), F.length(word) - n)).otherwise(cut)
     return cut
@@ -127,5 +145,22 @@ def json_object(text: Column) -> Column:
     return F.when(fenced != "", fenced).when(braced != "", braced)
 
 
-def query_prefix(text: Column, instruction: str = "Represent this sentence for searching relevant passages: ") -> Column:
+def repaired_json(text: Column) -> Column:
+    """A truncated JSON object with its open string, arrays and objects closed, in the order they were opened.
+
+    A comma or colon that nothing follows goes with the key before it. The brackets outside strings are folded into a stack.
+    """
+    plain = F.regexp_replace(text, r'\\\\.', '')
+    quotes = F.regexp_count(plain, F.lit('"'))
+    closed = F.when(quotes % 2 == 1, F.concat(text, F.lit('"'))).otherwise(text)
+    closed = F.regexp_replace(closed, r'(?:,\s*|,?\s*"[^"]*"\s*:\s*)$', "")
+    outside = F.regexp_replace(F.regexp_replace(closed, r'\\\\.', ''), r'"[^"]*"', "")
+    brackets = F.regexp_extract_all(outside, F.lit(r"[\[\]{}]"), F.lit(0))
+    stack = F.aggregate(
+        brackets, F.lit(""), lambda held, c: F.when(c == "{", F.concat(F.lit("}"), held)).when(c == "[", F.concat(F.lit("]"), held)).otherwise(F.substring(held, F.lit(2), F.length(held)))
+    )
+    return F.concat(closed, stack)
+
+
+def query_prefix(text: Column, instruction: str = INSTRUCTION) -> Column:
     return F.concat(F.lit(instruction), text)

@@ -65,12 +65,116 @@ def next_symbol(state: DataFrame, evidence: DataFrame, expanded: DataFrame) -> D
 
 
 def merge_evidence(old: DataFrame, new: DataFrame, keep: int = EVIDENCE) -> DataFrame:
-    """Union by (question, id): the newer payload at the older one's position; the first ``keep`` by score stay."""
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    newest = Window.partitionBy("question", "id").orderBy(F.desc("_new"))
-    once = both.withColumn("_k", F.row_number().over(newest)).where("_k = 1")
-    best = Window.partitionBy("question").orderBy(F.desc("score"), "id")
-    return once.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= keep).drop("_k", "_new")
+    """Union by (question, id): the newer payload at the older one's position; the first ``keep`` by score stay.
+
+    Rows may carry ``position``; those without get one by score, new ones after the old.
+    """
+    def placed(rows: DataFrame, late: int) -> DataFrame:
+        if "position" not in rows.columns:
+            rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "id")))
+        return rows.withColumn("_new", F.lit(late))
+
+    both = placed(old, 0).unionByName(placed(new, 1))
+    newest = Window.partitionBy("question", "id")
+    once = both.withColumn("_first", F.min(F.struct("_new", "position")).over(newest)).withColumn("_k", F.row_number().over(newest.orderBy(F.desc("_new"), "position"))).where("_k = 1")
+    best = Window.partitionBy("question").orderBy(F.desc("score"), "_first", "id")
+    kept = once.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= keep)
+    return kept.withColumn("position", F.row_number().over(Window.partitionBy("question").orderBy("_first", "id"))).drop("_k", "_new", "_first")
+
+
+def exact_prefix(hits: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Hits of each question with the chunks named exactly as its query's symbol put first, none twice.
+
+    ``queries`` has (question, query); ``hits`` (question, id, rank, score) and the chunks' columns.
+    """
+    asked = queries.select("question", query_symbol(F.col("query")).alias("name")).where("name is not null")
+    exact = chunks.join(asked, "name").withColumn("score", F.lit(1.0)).withColumn("_at", F.struct(F.lit(0).alias("late"), F.col("id").cast("string").alias("by")))
+    rest = hits.join(exact.select("question", "id"), ["question", "id"], "left_anti").withColumn("_at", F.struct(F.lit(1).alias("late"), F.lpad(F.col("rank").cast("string"), 12, "0").alias("by")))
+    columns = [c for c in hits.columns if c != "rank"]
+    both = exact.select(*columns, "_at").unionByName(rest.select(*columns, "_at"))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy("_at"))).drop("_at")
+
+
+def needs_more(evidence: DataFrame, least: int = 3) -> DataFrame:
+    """(question, connected, needs_more): fewer than ``least`` pieces of evidence that call or are called by another one."""
+    names = evidence.select("question", F.col("name").alias("_n")).distinct()
+    near = evidence.select("question", "id", F.explode_outer(F.array_distinct(F.concat("calls", "called_by"))).alias("_n"))
+    linked = near.join(names, ["question", "_n"], "left_semi").select("question", "id").distinct().groupBy("question").agg(F.count(F.lit(1)).alias("connected"))
+    counted = evidence.select("question").distinct().join(linked, "question", "left").withColumn("connected", F.coalesce("connected", F.lit(0)))
+    return counted.withColumn("needs_more", F.col("connected") < least)
+
+
+def unresolved(required: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Required symbols (question, symbol) that no name of the question's evidence stands for, whole or by their last parts."""
+    last = lambda c: text.bare_name(F.col(c))
+    known = evidence.select("question", F.explode(F.array("name", last("name"))).alias("_k")).distinct()
+    asked = required.where("trim(symbol) <> ''").select("question", "symbol", F.explode(F.array_distinct(F.array("symbol", last("symbol")))).alias("_k"))
+    met = asked.join(known, ["question", "_k"]).select("question", "symbol").distinct()
+    return required.where("trim(symbol) <> ''").join(met, ["question", "symbol"], "left_anti").distinct()
+
+
+def expansion_flags(evidence: DataFrame, state: DataFrame) -> DataFrame:
+    """Evidence with ``redundant`` (all neighbours are known already) and ``low_value`` (a class, an abstract body,
+    or no term of the question in name or source).
+
+    ``evidence`` has abstract, as chunks.with_implementation_flags() gives it.
+    """
+    names = evidence.groupBy("question").agg(F.flatten(F.collect_list(F.array("name", text.bare_name(F.col("name"))))).alias("_names"))
+    joined = evidence.join(names, "question").join(state.select("question", "question_text"), "question")
+    near = F.array_distinct(F.concat("calls", "called_by"))
+    fit = text.overlap(text.haystack_terms(F.col("question_text")), text.haystack_terms(F.concat_ws(" ", "name", "raw_source")))
+    return joined.withColumn("redundant", F.size(F.array_except(near, "_names")) == 0).withColumn("low_value", (F.col("type") == "class") | F.col("abstract") | (fit == 0)).drop("_names", "question_text")
+
+
+def next_hop(state: DataFrame, evidence: DataFrame, expanded: DataFrame) -> DataFrame:
+    """(question, symbol): where an execution path goes on, given what was expanded (question, symbol, hop).
+
+    Of the chunks that weren't expanded, those neither redundant nor of low value come first; then those that the
+    symbol expanded last calls, in the order of its calls; then by the share of the question's terms they have, degree,
+    being runtime code, and score. Needs abstract and runtime.
+    """
+    flagged = expansion_flags(evidence, state).join(expanded.select("question", F.col("symbol").alias("name")), ["question", "name"], "left_anti")
+    last = expanded.groupBy("question").agg(F.max_by("symbol", "hop").alias("name")).join(evidence.select("question", "name", F.col("calls").alias("_calls")), ["question", "name"]).select("question", "_calls")
+    asked = flagged.join(last, "question", "left").join(state.select("question", "question_text"), "question")
+    called = F.array_position(F.coalesce("_calls", F.array().cast("array<string>")), text.bare_name(F.col("name"))).cast("int")
+    fit = F.round(text.overlap(text.haystack_terms(F.col("question_text")), text.haystack_terms(F.concat_ws(" ", "name", "raw_source"))), 6)
+    order = [
+        (F.col("redundant") | F.col("low_value")).cast("int"), F.when(called > 0, 0).otherwise(1), F.when((called > 0) & (fit > 0), 0).otherwise(1), called,
+        F.desc(fit), F.desc(F.size(F.array_distinct(F.concat("calls", "called_by")))), F.desc("runtime"), F.desc("score"), F.col("name"),
+    ]
+    return asked.withColumn("_n", F.row_number().over(Window.partitionBy("question").orderBy(*order))).where("_n = 1").select("question", F.col("name").alias("symbol"))
+
+
+def preferred_action(decisions: DataFrame, state: DataFrame, evidence: DataFrame, expanded: DataFrame) -> DataFrame:
+    """Decisions (question, action, action_input, required array) after the policy gates, with ``gate``, the first that changed it.
+
+    A query without searchable words, a repeated one, or one for a symbol that is known already becomes an expansion of the
+    next hop; an expansion of an unknown, abstract or expanded symbol moves to the next hop or, where there is none, to a
+    retrieval of what is required; an answer before required symbols are found becomes their retrieval.
+    """
+    hop = next_hop(state, evidence, expanded).withColumnRenamed("symbol", "_next")
+    missing = unresolved(decisions.select("question", F.explode("required").alias("symbol")), evidence).groupBy("question").agg(F.min("symbol").alias("_missing"))
+    known = evidence.groupBy("question").agg(F.collect_set("name").alias("_names"), F.collect_set(F.when(F.col("abstract"), F.col("name"))).alias("_abstract"))
+    done = expanded.groupBy("question").agg(F.collect_set("symbol").alias("_done"))
+    joined = decisions.join(known, "question", "left").join(done, "question", "left").join(hop, "question", "left").join(missing, "question", "left")
+    none = F.array().cast("array<string>")
+    has = lambda c, v: F.array_contains(F.coalesce(F.col(c), none), v)
+    act, at = F.col("action"), F.col("action_input")
+    gate = (
+        F.when((act == "retrieve") & (F.size(text.agent_phrases(at)) == 0), "bad_query")
+        .when((act == "retrieve") & has("_names", query_symbol(at)), "known_symbol")
+        .when((act == "expand_graph") & ~has("_names", at), "unresolved_symbol")
+        .when((act == "expand_graph") & has("_abstract", at), "abstract")
+        .when((act == "expand_graph") & has("_done", at), "already_expanded")
+        .when((act == "answer") & F.col("_missing").isNotNull(), "missing_information")
+    )
+    moved = joined.withColumn("gate", gate)
+    ask = F.concat(F.lit("function "), "_missing")
+    goes = F.when(F.col("gate") == "missing_information", F.struct(F.lit("retrieve").alias("a"), ask.alias("i"))).when(
+        F.col("_next").isNotNull(), F.struct(F.lit("expand_graph").alias("a"), F.col("_next").alias("i"))
+    ).when(F.col("_missing").isNotNull(), F.struct(F.lit("retrieve").alias("a"), ask.alias("i"))).otherwise(F.struct(F.lit("answer").alias("a"), F.lit("").alias("i")))
+    chosen = F.when(F.col("gate").isNull(), F.struct(act.alias("a"), at.alias("i"))).otherwise(goes)
+    return moved.withColumn("_c", chosen).select("question", F.col("_c.a").alias("action"), F.col("_c.i").alias("action_input"), "required", "gate")
 
 
 def run(

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import chunk_id, content_hash
+from tessera.session import ship
 
 UNIT = (
     "name string, bare_name string, parent string, type string, file string, language string, line_start int, line_end int, raw_source string, "
@@ -74,6 +75,7 @@ def chunk_python(files: DataFrame, repo_id: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    ship(files.sparkSession)
     kind = StructType.fromDDL(UNIT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,14 +87,18 @@ def chunk_python(files: DataFrame, repo_id: str) -> DataFrame:
     return with_ids(files.select("path", "content").mapInArrow(run, kind), repo_id)
 
 
+#: What stands before the parts of the text that is embedded and indexed.
+LABELS = {"file": "File: ", "parent": "Class: ", "docstring": "Description: ", "calls": "Calls: ", "decorators": " Registered via: "}
+
+
 def with_ids(units: DataFrame, repo_id: str) -> DataFrame:
     """Adds id, repo_id, qualified_name, text, content_hash, registered_by and an empty called_by."""
     repo = F.lit(repo_id)
     head = F.concat_ws(
-        "\n", F.concat(F.lit("File: "), "file"), F.concat(F.col("type"), F.lit(": "), "name"), F.concat(F.lit("Class: "), "parent"),
-        F.when(F.col("docstring") != "", F.concat(F.lit("Docstring: "), F.substring("docstring", 1, 200))),
-        F.when(F.size("calls") > 0, F.concat(F.lit("Calls: "), F.array_join(F.slice("calls", 1, 8), ", "))),
-        F.when(F.size("decorators") > 0, F.concat(F.lit("Decorators: "), F.array_join("decorators", ", "))),
+        "\n", F.concat(F.lit(LABELS["file"]), "file"), F.concat(F.initcap("type"), F.lit(": "), "name"), F.concat(F.lit(LABELS["parent"]), "parent"),
+        F.when(F.col("docstring") != "", F.concat(F.lit(LABELS["docstring"]), F.substring("docstring", 1, 200))),
+        F.when(F.size("calls") > 0, F.concat(F.lit(LABELS["calls"]), F.array_join(F.slice("calls", 1, 8), ", "))),
+        F.when(F.size("decorators") > 0, F.concat(F.lit(LABELS["decorators"]), F.array_join("decorators", ", "))),
     )
     return units.select(
         chunk_id(repo, F.col("file"), F.col("bare_name"), F.col("line_start")).alias("id"), repo.alias("repo_id"), "*",
@@ -103,12 +109,29 @@ def with_ids(units: DataFrame, repo_id: str) -> DataFrame:
 
 #: Columns of a chunk that graph and lexical work need, and those that are stored.
 META = ("id", "repo_id", "name", "type", "file", "line_start", "calls", "called_by", "decorators", "imports")
+PAYLOAD = (*META, "qualified_name", "bare_name", "parent", "language", "line_end", "raw_source", "docstring", "text", "content_hash", "registered_by", "complexity")
 
 
 def meta(chunks: DataFrame) -> DataFrame:
     return chunks.select(*META)
 
 
+def payload(chunks: DataFrame) -> DataFrame:
+    """What is stored beside a vector: all but the vector itself."""
+    return chunks.select(*PAYLOAD)
+
+
+def counted(chunks: DataFrame, cached: DataFrame | None = None) -> DataFrame:
+    """One row: chunks, files, and how many texts the embedding cache (text_md5) has or lacks."""
+    held = chunks.select("file", F.md5("text").alias("text_md5"))
+    if cached is None:
+        held = held.withColumn("cached", F.lit(False))
+    else:
+        held = held.join(cached.select("text_md5").distinct().withColumn("cached", F.lit(True)), "text_md5", "left")
+    hit = F.coalesce("cached", F.lit(False))
+    return held.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("file").alias("files"), F.count_if(hit).alias("cached"), F.count_if(~hit).alias("fresh"))
+
+
 def is_abstract(source: str | None, decorators: list[str] | None = None) -> bool:
     """Marked abstract, or with no body beside a docstring but pass, an ellipsis or a NotImplementedError."""
     if any("abstractmethod" in d for d in decorators or ()):
@@ -168,4 +191,5 @@ def with_implementation_flags(chunks: DataFrame) -> DataFrame:
 
     from pyspark.sql.types import BooleanType, StructField, StructType
 
+    ship(chunks.sparkSession)
     return chunks.mapInArrow(run, StructType([*chunks.schema.fields, StructField("abstract", BooleanType()), StructField("runtime", BooleanType())]))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import bare_name, owner
 from tessera.operators.fusion import prefer_production
+from tessera.session import ship
 
 #: Tokens of the whole prompt, of its fixed parts, of a chunk's labels; the least code worth sending;
 #: the share of the budget that one chunk may take at first.
@@ -91,28 +94,59 @@ def select_context(rows: DataFrame, max_tokens: int = MAX_TOKENS, named: Column
     )
     placed = kept.withColumn("_order", order).withColumn("context_pos", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("_order"), "id")) - 1).drop("_order", "_named")
 
-    def fitted(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("context_pos").reset_index(drop=True)
-        chosen = fit([t or "" for t in group["text"]], max_tokens)
-        out = group.iloc[[k for k, _ in chosen]].copy()
-        out["text"] = [t for _, t in chosen]
-        out["context_pos"] = range(len(out))
-        return out
-
     schema = T.StructType([T.StructField(f.name, T.IntegerType()) if f.name == "context_pos" else f for f in placed.schema.fields])
-    return placed.groupBy("question").applyInPandas(fitted, schema)
+    laid = placed.repartition("question").sortWithinPartitions("question", "context_pos")
+    text_at, pos_at, question_at = (schema.names.index(c) for c in ("text", "context_pos", "question"))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: pa.Table | None = None
+        for batch in _and_last(batches):
+            if batch is not None:
+                more = pa.Table.from_batches([batch])
+                left = more if left is None else pa.concat_tables([left, more])
+            if left is None or not left.num_rows:
+                continue
+            asked, texts = left.column(question_at).to_pylist(), left.column(text_at).to_pylist()
+            # The last question may go on in the next batch.
+            end = len(asked) if batch is None else next((k for k in range(len(asked) - 1, 0, -1) if asked[k - 1] != asked[-1]), 0)
+            row, cut, place, begin = [], [], [], 0
+            for k in range(1, end + 1):
+                if k == end or asked[k] != asked[begin]:
+                    chosen = fit([t or "" for t in texts[begin:k]], max_tokens)
+                    row += [begin + n for n, _ in chosen]
+                    cut += [t for _, t in chosen]
+                    place += range(len(chosen))
+                    begin = k
+            out = left.take(pa.array(row, pa.int64()))
+            out = out.set_column(text_at, "text", pa.array(cut, out.schema.field(text_at).type)).set_column(pos_at, "context_pos", pa.array(place, pa.int32()))
+            yield from out.combine_chunks().to_batches()
+            left = left.slice(end)
+
+    ship(rows.sparkSession)
+    return laid.mapInArrow(fitted, schema)
+
+
+def _and_last(batches):
+    yield from batches
+    yield None
 
 
 def explicit_symbols(questions: DataFrame, symbols: DataFrame) -> DataFrame:
     """(question, name): symbols that a question's text names, without those that a longer named one begins with.
 
-    ``questions`` has (question, text), ``symbols`` (question, name): a question's own candidates.
+    ``questions`` has (question, text), ``symbols`` (name), or (question, name) for a question's own candidates. Names meet the
+    questions' substrings of their lengths by an equi-join, so no name is compared with every question.
     """
-    held = symbols.join(questions, "question").where(F.contains(F.lower("text"), F.lower("name"))).select("question", "name").distinct()
-    longer = held.select("question", F.lower("name").alias("_l"))
-    parts = F.split("_l", r"\.")
-    inside = longer.where(F.size(parts) > 1).select("question", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "."))).alias("_p")).distinct()
-    return held.join(inside, (held["question"] == inside["question"]) & (F.lower(held["name"]) == inside["_p"]), "left_anti")
+    own = ["question"] if "question" in symbols.columns else []
+    names = symbols.select(*own, "name", F.lower("name").alias("_part")).where("_part <> ''").distinct()
+    lengths = names.agg(F.collect_set(F.length("_part")).alias("n"))
+    asked = questions.select("question", F.lower("text").alias("_t")).crossJoin(F.broadcast(lengths))
+    places = asked.select("question", "_t", F.explode("n").alias("n")).where(F.length("_t") >= F.col("n"))
+    parts = places.select("question", F.explode(F.transform(F.sequence(F.lit(1), F.length("_t") - F.col("n") + 1), lambda i: F.substring("_t", i, F.col("n")))).alias("_part")).distinct()
+    held = parts.join(names, [*own, "_part"]).select("question", "name").distinct()
+    longer = held.select("question", F.split(F.lower("name"), r"\.").alias("_p")).where(F.size("_p") > 1)
+    inside = longer.select("question", F.explode(F.transform(F.sequence(F.lit(1), F.size("_p") - 1), lambda i: F.array_join(F.slice("_p", 1, i), "."))).alias("_start")).distinct()
+    return held.withColumn("_start", F.lower("name")).join(inside, ["question", "_start"], "left_anti").select("question", "name")
 
 
 def chunk_block() -> Column:
@@ -124,14 +158,80 @@ def chunk_block() -> Column:
     )
 
 
-def prompts(context: DataFrame, instructions: DataFrame) -> DataFrame:
+#: What the answer is to do, by intent; the null row holds for all others.
+INSTRUCTIONS = (
+    ("understand_flow", "Walk through the calls in the order in which they run, from the entry to the result."),
+    ("find_usage", "List each place that uses the symbol and say what it uses it for."),
+    ("debug", "Name the likely cause, the lines that show it, and a fix."),
+    ("explain_concept", "Explain the idea first, then how the code below realises it."),
+    ("find_function", "Name the function that does it and its file, then say how it works."),
+    (None, "Answer from the code below."),
+)
+
+
+def prompts(context: DataFrame, instructions: DataFrame | None = None) -> DataFrame:
     """(question, prompt): instruction by intent, the chunks' blocks in order, the question.
 
-    ``context`` has question, intent, question_text and the chunks' columns; ``instructions`` (intent, instruction).
+    ``context`` has question, intent, question_text and the chunks' columns; ``instructions`` (intent, instruction), a
+    handful of rows.
     """
+    table = context.sparkSession.createDataFrame(list(INSTRUCTIONS), "intent string, instruction string") if instructions is None else instructions
+    default = table.where("intent is null").select(F.col("instruction").alias("_any"))
     blocks = context.groupBy("question", "intent", "question_text").agg(F.sort_array(F.collect_list(F.struct("context_pos", chunk_block().alias("b")))).alias("blocks"))
     body = F.array_join(F.transform("blocks", lambda x: x["b"]), "\n\n---\n\n")
-    return blocks.join(F.broadcast(instructions), "intent", "left").select("question", F.concat_ws("\n\n", F.coalesce("instruction", F.lit("Answer from the code below.")), body, F.concat(F.lit("Question: "), "question_text")).alias("prompt"))
+    told = blocks.join(F.broadcast(table.where("intent is not null")), "intent", "left").join(F.broadcast(default), F.lit(True), "left")
+    return told.select("question", F.concat_ws("\n\n", F.coalesce("instruction", "_any", F.lit("Answer from the code below.")), body, F.concat(F.lit("Question: "), "question_text")).alias("prompt"))
+
+
+def sources(rows: DataFrame) -> DataFrame:
+    """(question, rank, name, file, type, line_start, score): what an answer cites; the reranker's score where there is one."""
+    score = F.coalesce("rerank_score", "score") if "rerank_score" in rows.columns else F.col("score")
+    return rows.select("question", "rank", "name", "file", "type", "line_start", score.alias("score"))
+
+
+def excerpts(rows: DataFrame, chars: int = 300) -> DataFrame:
+    """Search results as they are shown: the first characters of each source."""
+    return rows.withColumn("raw_source", F.substring("raw_source", 1, chars))
+
+
+def search_context(rows: DataFrame, chars: int = 500) -> DataFrame:
+    """(question, context): numbered blocks of the hits' first characters, in their order."""
+    block = F.concat(F.lit("["), F.col("retrieval_rank").cast("string"), F.lit("] "), "file", F.lit(" - "), "name", F.lit("\n"), F.substring("raw_source", 1, chars))
+    place = Window.partitionBy("question").orderBy("retrieval_rank", "id")
+    placed = rows.withColumn("retrieval_rank", F.row_number().over(place))
+    listed = placed.groupBy("question").agg(F.sort_array(F.collect_list(F.struct("retrieval_rank", block.alias("b")))).alias("l"))
+    return listed.select("question", F.array_join(F.transform("l", lambda x: x["b"]), "\n\n---\n\n").alias("context"))
+
+
+def evidence_summary(rows: DataFrame, calls: int = 5, chars: int = 400) -> DataFrame:
+    """(question, summary): each piece of evidence with some calls and callers and the first of its source."""
+    some = lambda c: F.array_join(F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, calls), ", ")
+    line = F.concat_ws("\n", F.concat("type", F.lit(" "), "name", F.lit(" in "), "file"), F.concat(F.lit("calls "), some("calls")), F.concat(F.lit("called by "), some("called_by")), F.substring("raw_source", 1, chars))
+    listed = rows.groupBy("question").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", line.alias("b")))).alias("l"))
+    return listed.select("question", F.array_join(F.transform("l", lambda x: x["b"]), "\n\n").alias("summary"))
+
+
+def inventory(rows: DataFrame) -> DataFrame:
+    """(question, inventory): a line for each piece of evidence."""
+    listed = rows.groupBy("question").agg(F.sort_array(F.collect_list(F.struct("name", "file"))).alias("l"))
+    return listed.select("question", F.array_join(F.transform("l", lambda x: F.concat(F.lit("- "), x["name"], F.lit(" ("), x["file"], F.lit(")"))), "\n").alias("inventory"))
+
+
+def diff_prompt(context: DataFrame, request: Column) -> DataFrame:
+    """(question, prompt): the code of the context and a request for a change, to be answered as JSON."""
+    listed = context.groupBy("question").agg(F.sort_array(F.collect_list(F.struct("context_pos", chunk_block().alias("b")))).alias("l"), F.any_value(request).alias("r"))
+    body = F.array_join(F.transform("l", lambda x: x["b"]), "\n\n---\n\n")
+    return listed.select("question", F.concat_ws("\n\n", body, F.concat(F.lit("Change: "), "r"), F.lit('Answer with one JSON object: {"explanation": ..., "diff": a unified diff}.')).alias("prompt"))
+
+
+def nearest_misses(rows: DataFrame, low: DataFrame, n: int = 3) -> DataFrame:
+    """(question, answer, top): what a question without confident hits is told: the best few names, files and scores."""
+    best = Window.partitionBy("question").orderBy(F.desc("score"), "id")
+    some = rows.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= n).groupBy("question").agg(F.sort_array(F.collect_list(F.struct("_n", "name", "file", "score"))).alias("l"))
+    told = low.where("low").select("question").join(some, "question", "left")
+    kind = "array<struct<name:string,file:string,score:double>>"
+    top = F.transform("l", lambda x: F.struct(x["name"].alias("name"), x["file"].alias("file"), x["score"].cast("double").alias("score")))
+    return told.select("question", F.lit("No code in this repository answers that with confidence.").alias("answer"), F.coalesce(top, F.array().cast(kind)).alias("top"))
 
 
 def low_confidence(hits: DataFrame, questions: DataFrame, least: float = 0.05, score: str = "score") -> DataFrame:

@@ -5,12 +5,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import bare_name, is_production, owner
+from tessera.session import stored
 
 
 def invert(chunks: DataFrame, *, qualified: bool = False) -> DataFrame:
@@ -59,46 +62,56 @@ def resolve(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.unionByName(built).groupBy("request", "callee", "id").agg(F.min("tier").alias("tier"))
 
 
-def neighbour_edges(chunks: DataFrame, direction: str = "both", *, anchored: bool = False) -> DataFrame:
-    """(src, dst, tier, name): resolved neighbours of every chunk that isn't a class, tests and examples left out."""
+def neighbour_edges(chunks: DataFrame, direction: str = "both", *, anchored: bool = False, of: DataFrame | None = None) -> DataFrame:
+    """(src, dst, tier, name): resolved neighbours of every chunk that isn't a class (or of those whose id is in ``of``), tests and
+    examples left out."""
     sides = {"callees": ["calls"], "callers": ["called_by"], "both": ["calls", "called_by"]}[direction]
-    asked = None
-    for side in sides:
-        one = chunks.where("type <> 'class'").select(F.col("id").alias("request"), "file", F.col("name").alias("current"), F.explode(side).alias("callee"))
-        asked = one if asked is None else asked.unionByName(one)
-    found = resolve(asked.distinct(), chunks)
+    callers = chunks.where("type <> 'class'")
+    if of is not None:
+        callers = callers.join(of.select("id").distinct(), "id", "left_semi")
+    named = F.flatten(F.array(*[F.coalesce(side, F.array().cast("array<string>")) for side in sides]))
+    asked = callers.select(F.col("id").alias("request"), "file", F.col("name").alias("current"), F.explode(named).alias("callee")).distinct()
+    found = resolve(asked, chunks)
     allowed = chunks.where(is_production(F.col("file"), anchored)).select("id")
     return found.join(allowed, "id", "left_semi").select(F.col("request").alias("src"), F.col("id").alias("dst"), "tier", F.col("callee").alias("name"))
 
 
-def expand(seeds: DataFrame, edges: DataFrame, depth: int = 1, max_expanded: int | None = 15) -> DataFrame:
+def expand(
+    seeds: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], depth: int = 1, max_expanded: int | None = 15,
+    keep: Callable[[DataFrame], DataFrame] = stored,
+) -> DataFrame:
     """(question, id, graph_distance, graph_score): breadth-first from each question's seeds.
 
     ``seeds`` has (question, id, score, pos). A neighbour's score is its parent's less 0.05, not below 0; the first
-    visit wins, in the order of the parent, then scope, name and id; at most ``max_expanded`` rows are added. One
-    join for each hop, all questions at once; only the reached set is carried. Where seeds have a direction, so
+    visit wins, in the order of the parent, then scope, name and id. The cap on added rows is tested after each one is
+    added, so every hop may add one row even where the cap is reached. One join for each hop, all questions at once;
+    ``keep`` writes what a hop reached, as the next ones read it several times. ``edges``
+    may be a function of the frontier, which then resolves only that. Where seeds have a direction, so
     have the edges and must share it; where seeds have a depth, it bounds their own hops.
     """
     carried = [c for c in ("direction", "depth") if c in seeds.columns]
-    reached = seeds.select("question", *carried, "id", F.lit(0).alias("graph_distance"), F.col("score").cast("double").alias("graph_score"), F.col("pos").cast("long").alias("pos"))
+    reached = keep(seeds.select("question", *carried, "id", F.lit(0).alias("graph_distance"), F.col("score").cast("double").alias("graph_score"), F.col("pos").cast("long").alias("pos")))
     frontier = reached
     for hop in range(1, depth + 1):
         start = frontier.withColumnRenamed("id", "src")
         if "depth" in carried:
             start = start.where(F.col("depth") >= hop)
-        step = start.join(edges, ["src", "direction"] if "direction" in carried else ["src"]).select(
+        step = start.join(edges(frontier) if callable(edges) else edges, ["src", "direction"] if "direction" in carried else ["src"]).select(
             "question", *carried, F.col("dst").alias("id"), F.lit(hop).alias("graph_distance"), F.greatest(F.round(F.col("graph_score") - 0.05, 9), F.lit(0.0)).alias("graph_score"),
             F.struct("pos", "tier", "name", "dst").alias("_by"),
         )
-        new = step.join(reached.select("question", "id"), ["question", "id"], "left_anti")
-        first = Window.partitionBy("question", "id").orderBy("_by")
-        new = new.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-        order = Window.partitionBy("question").orderBy("_by")
-        new = new.withColumn("pos", F.row_number().over(order).cast("long"))
-        if max_expanded is not None:
+        # The first visit of each node: a minimum, which is taken before rows are shuffled.
+        rest = F.struct("_by", *carried, "graph_distance", "graph_score")
+        first = step.groupBy("question", "id").agg(F.min(rest).alias("_v"))
+        new = first.join(reached.select("question", "id"), ["question", "id"], "left_anti").select("question", "id", "_v.*")
+        if max_expanded is None:
+            new = new.withColumn("pos", F.row_number().over(Window.partitionBy("question").orderBy("_by")).cast("long")) if hop < depth else new.withColumn("pos", F.lit(0).cast("long"))
+        else:
+            order = Window.partitionBy("question").orderBy("_by")
+            new = new.withColumn("pos", F.row_number().over(order).cast("long")).where(F.col("pos") <= max(1, max_expanded))
             taken = reached.where("graph_distance > 0").groupBy("question").agg(F.count(F.lit(1)).alias("_taken"))
-            new = new.join(taken, "question", "left").where(F.col("pos") + F.coalesce("_taken", F.lit(0)) <= max_expanded)
-        frontier = new.select("question", *carried, "id", "graph_distance", "graph_score", "pos")
+            new = new.join(taken, "question", "left").where(F.col("pos") <= F.greatest(F.lit(max_expanded) - F.coalesce("_taken", F.lit(0)), F.lit(1)))
+        frontier = keep(new.select("question", *carried, "id", "graph_distance", "graph_score", "pos"))
         reached = reached.unionByName(frontier)
     return reached.drop("pos", *carried)
 
@@ -125,38 +138,49 @@ def find_symbols(chunks: DataFrame, query: str, limit: int = 20) -> DataFrame:
 
 
 def call_order(rows: DataFrame, hoist: tuple[str, ...] = ()) -> DataFrame:
-    """Each question's chunks with ``call_pos``: depth-first from those that no other calls, callees in order.
+    """Each question's chunks with ``call_pos``: depth-first from those that none of them calls, callees in order.
 
-    Names in ``hoist`` come first, in its order. A question's context is a few dozen rows, walked together.
+    A call reaches chunks by their whole or their bare name. Names in ``hoist`` come first, in its order. A question's context is a few dozen rows, walked together.
     """
     schema = T.StructType([*rows.schema.fields, T.StructField("call_pos", T.IntegerType())])
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rank", kind="stable").reset_index(drop=True)
-        by_name: dict[str, list[int]] = {}
+        called_as: dict[str, list[int]] = {}
         for k, name in enumerate(group["name"]):
-            by_name.setdefault(name, []).append(k)
-        calls = [list(c) if c is not None else [] for c in group["calls"]]
-        called = {x for c in calls for x in c}
-        seen: list[int] = []
-        done: set[int] = set()
-        for root in [*(k for k, n in enumerate(group["name"]) if n not in called), *range(len(group))]:
-            stack = [root]
-            while stack:
-                k = stack.pop()
-                if k in done:
-                    continue
-                done.add(k)
-                seen.append(k)
-                stack += [t for c in reversed(calls[k]) for t in reversed(by_name.get(c, []))]
-        first = [k for h in hoist for k in seen if group["name"][k] == h]
-        order = [*first, *(k for k in seen if k not in set(first))]
-        place = pd.Series(range(len(order)), index=order)
-        return group.assign(call_pos=place.reindex(range(len(group))).astype("int32").to_numpy())
+            for known in dict.fromkeys([name, name.rpartition(".")[2]]) if name else ():
+                called_as.setdefault(known, []).append(k)
+        callees = [[t for c in (calls if calls is not None else ()) for t in called_as.get(c, ())] for calls in group["calls"]]
+        called = {group["id"][t] for listed in callees for t in listed}
+        place: dict = {}  # by id, in the order of visits
+        for root in [*(k for k, i in enumerate(group["id"]) if i not in called), *range(len(group))]:
+            open_ = [root]
+            while open_:
+                k = open_.pop()
+                if group["id"][k] not in place:
+                    place[group["id"][k]] = k
+                    open_ += reversed(callees[k])
+        rank = {name: k for k, name in reversed(list(enumerate(hoist)))}
+        order = sorted(place.values(), key=lambda k: rank.get(group["name"][k], len(hoist)))  # stable: the rest stay as visited
+        at = {group["id"][k]: n for n, k in enumerate(order)}
+        return group.assign(call_pos=group["id"].map(at).astype("int32"))
 
     return rows.groupBy("question").applyInPandas(walk, schema)
 
 
+def total_edges(chunks: DataFrame) -> DataFrame:
+    """One row: the number of call edges."""
+    return chunks.agg(F.coalesce(F.sum(F.size(F.coalesce("called_by", F.array().cast("array<string>")))), F.lit(0)).alias("edges"))
+
+
+#: The stages of a request in a web framework, first to last.
+LIFECYCLE = (
+    "__call__", "Flask.__call__", "wsgi_app", "Flask.wsgi_app", "request_context", "Flask.request_context", "push", "AppContext.push", "full_dispatch_request",
+    "Flask.full_dispatch_request", "preprocess_request", "Flask.preprocess_request", "dispatch_request", "Flask.dispatch_request", "finalize_request", "Flask.finalize_request",
+    "process_response", "Flask.process_response", "pop", "AppContext.pop", "do_teardown_request", "Flask.do_teardown_request",
+)
+
+
 def pages_as_chunks(pages: DataFrame) -> DataFrame:
     """Stand-in chunks for tables without code: a page calls what it links to."""
     links = F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="/([^"]*)"'), F.lit(1)))

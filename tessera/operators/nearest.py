@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot, norm
@@ -39,6 +39,18 @@ def _ranked(met: DataFrame, top_k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).select("question", "id", "rank", F.round("score", 4).alias("score"))
 
 
+def masked_mean(cells: Column, mask: Column) -> Column:
+    """The mean of token vectors (array of arrays) that the mask (array of 0 and 1) keeps, brought to length 1."""
+    pairs = F.arrays_zip(cells.alias("v"), mask.alias("m"))
+    kept = F.filter(pairs, lambda p: p["m"] > 0)
+    total = F.aggregate(
+        kept, F.transform(cells[0], lambda x: F.lit(0.0)), lambda s, p: F.zip_with(s, p["v"], lambda a, b: a + b.cast("double"))
+    )
+    mean = F.transform(total, lambda x: x / F.greatest(F.size(kept).cast("double"), F.lit(1e-9)))
+    length = F.sqrt(F.aggregate(mean, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(mean, lambda x: x / F.greatest(length, F.lit(1e-9)))
+
+
 def mean_vectors(vectors: DataFrame, group: str, vector: str = "vector") -> DataFrame:
     """(group, vector): the mean of each group's vectors, brought to length 1."""
     cells = vectors.select(group, F.posexplode(vector).alias("i", "x"))

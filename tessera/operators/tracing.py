@@ -16,9 +16,12 @@ def cost(tokens_in: Column, tokens_out: Column) -> Column:
     return F.round(tokens_in / 1e6 * PRICE_IN + tokens_out / 1e6 * PRICE_OUT, 6)
 
 
-def requests(stages: DataFrame) -> DataFrame:
-    """One row for each request of (request, stage, latency_ms, tokens_in, tokens_out, cache_hit)."""
+def requests(stages: DataFrame, chars: int = 80) -> DataFrame:
+    """One row for each request of (request, stage, latency_ms, tokens_in, tokens_out, cache_hit), and the first characters of
+    its query where stages have one."""
+    asked = [F.substring(F.any_value("query"), 1, chars).alias("query")] if "query" in stages.columns else []
     return stages.groupBy("request").agg(
+        *asked,
         F.count(F.lit(1)).alias("stages"), F.round(F.sum("latency_ms"), 3).alias("total_ms"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
         F.round(F.sum(cost(F.col("tokens_in"), F.col("tokens_out"))), 6).alias("cost_usd"),
         F.array_sort(F.collect_set(F.when(F.col("cache_hit"), F.col("stage")))).alias("hit_stages"),

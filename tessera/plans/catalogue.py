@@ -7,15 +7,17 @@ candidates for a prompt.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, text, vectors
-from tessera.operators import chunks, context, evaluation, fusion, graph, lexical, nearest, store, tracing
-from tessera.plans import fixtures
-from tessera.session import table
+from tessera.operators import agent, chunks, context, evaluation, fusion, graph, lexical, nearest, records, store, tracing
+from tessera.plans import fixtures, retrieval
+from tessera.session import scratch, table
+from tessera.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,7 +35,7 @@ def query(sql: str | None = None):
 
 
 # Fragments of SQL that several queries share.
-_TOKENS = "list_filter(string_split_regex(regexp_replace(lower({0}), '[^a-z0-9_]', ' ', 'g'), ' +'), lambda t: t <> '')"
+_TOKENS = "regexp_extract_all(lower({0}), '[a-z0-9_]+')"
 _INDEX = f"""
 d AS (SELECT doc_id AS doc, {_TOKENS.format("text || ' ' || source")} AS w FROM documents),
 l AS (SELECT doc, len(w) AS dl FROM d),
@@ -69,12 +71,19 @@ def _vector_hits(spark: SparkSession, d: str, top_k: int = 20) -> DataFrame:
     return nearest.nearest(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), asked, top_k)
 
 
+def _stored(spark: SparkSession, d: str, repo_id: str | None = None) -> DataFrame:
+    """documents in a chunk store: a folder for each language, as one for each repository."""
+    path = f"{scratch(spark)}/chunks-{uuid.uuid4().hex}"
+    tables.write_chunks(table(spark, d, "documents", "doc_id", "lang", "source", "n_chars").withColumnRenamed("lang", "repo_id"), path)
+    return tables.read_chunks(spark, path, repo_id)
+
+
 # -- scans, lookups, hashes ---------------------------------------------------------------------------------------
 
 
 @query("SELECT doc_id, source, n_chars FROM documents WHERE lang = 'de' AND n_chars > 500")
 def scan_filter_project(spark, d):
-    return table(spark, d, "documents").where("lang = 'de' and n_chars > 500").select("doc_id", "source", "n_chars")
+    return _stored(spark, d, "de").where("n_chars > 500").select("doc_id", "source", "n_chars")
 
 
 @query("SELECT doc_id AS id, lang, 0.0::DOUBLE AS score FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)")
@@ -85,7 +94,7 @@ def point_lookup(spark, d):
 
 @query("SELECT lang, count(*) AS n_rows FROM documents GROUP BY lang")
 def count_per_partition(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"))
+    return tables.partition_counts(_stored(spark, d)).select(F.col("repo_id").alias("lang"), "n_rows")
 
 
 @query(f"SELECT doc_id, len(w)::INT AS n_tokens, len(list_distinct(w))::INT AS n_distinct FROM (SELECT doc_id, {_TOKENS.format('text')} AS w FROM documents)")
@@ -107,9 +116,9 @@ def content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", ids.content_hash(F.col("text")).alias("content_hash"))
 
 
-@query("SELECT item_id, md5('q:ask:repo:' || text || ':5') AS cache_key FROM benchmark")
+@query("SELECT item_id, 'qcache:' || md5('q:repo:' || text || ':5') AS cache_key FROM benchmark")
 def answer_cache_keys(spark, d):
-    return table(spark, d, "benchmark").select("item_id", ids.cache_key(F.lit("ask"), F.lit("repo"), F.col("text"), F.lit(5)).alias("cache_key"))
+    return table(spark, d, "benchmark").select("item_id", ids.cache_key(F.lit("repo"), F.col("text"), F.lit(5)).alias("cache_key"))
 
 
 # -- lexical and vector search, fusion ----------------------------------------------------------------------------
@@ -129,16 +138,16 @@ def bm25_topk(spark, d):
 
 
 @query(f"""
-WITH {_INDEX}, q AS (SELECT item_id || '|' || term AS question, term, 1 AS qtf FROM (SELECT DISTINCT item_id, unnest(({_TOKENS.format('text')})[1:3]) AS term FROM benchmark)), {_SCORES},
+WITH {_INDEX}, q AS (SELECT item_id || '|' || term AS question, term, 1 AS qtf FROM (SELECT DISTINCT item_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark)), {_SCORES},
 b AS (SELECT string_split(question, '|')[1]::BIGINT AS question, doc, max(round(score, 4)) AS bm25_score FROM h WHERE rank <= 25 AND score > 0 GROUP BY ALL)
 SELECT question, doc, row_number() OVER (PARTITION BY question ORDER BY bm25_score DESC, doc)::INT AS rank, bm25_score FROM b""")
 def bm25_multi_term_max(spark, d):
-    terms = table(spark, d, "benchmark").select("item_id", F.explode(F.slice(text.tokens(F.col("text")), 1, 3)).alias("term")).distinct()
+    terms = table(spark, d, "benchmark").select("item_id", F.explode(text.tokens(F.col("text"))).alias("term")).distinct()
     return lexical.best_over_terms(_index(spark, d), terms, F.col("item_id"), F.col("term"))
 
 
 @query(f"""
-WITH {_INDEX}, ph AS (SELECT item_id, i AS pos, ({_TOKENS.format('text')})[i + 1] AS phrase FROM benchmark, range(3) x(i)),
+WITH {_INDEX}, ph AS (SELECT item_id, i AS pos, w[i + 1] AS phrase FROM (SELECT item_id, {_TOKENS.format('text')} AS w FROM benchmark), unnest(range(len(w))) x(i)),
 kp AS (SELECT * FROM ph WHERE phrase IS NOT NULL AND phrase NOT IN ({", ".join(f"'{w}'" for w in text.PHRASE_STOP_WORDS)})),
 q AS (SELECT item_id || '|' || pos AS question, phrase AS term, 1 AS qtf FROM kp), {_SCORES},
 f AS (SELECT string_split(question, '|')[1]::BIGINT AS item_id, doc, min((string_split(question, '|')[2]::INT, rank)) AS pl FROM h WHERE rank <= 5 AND score > 0 GROUP BY ALL),
@@ -147,7 +156,7 @@ u AS (SELECT item_id, 0 AS kind, pos AS n, phrase AS symbol FROM kp UNION ALL SE
 o AS (SELECT item_id, symbol, min((kind, n)) AS pl FROM u GROUP BY ALL)
 SELECT item_id AS question, row_number() OVER (PARTITION BY item_id ORDER BY pl)::INT AS pos, symbol FROM o""")
 def symbol_expansion(spark, d):
-    phrases = table(spark, d, "benchmark").select(F.col("item_id").alias("question"), F.posexplode(F.slice(text.tokens(F.col("text")), 1, 3)).alias("pos", "phrase"))
+    phrases = table(spark, d, "benchmark").select(F.col("item_id").alias("question"), F.posexplode(text.tokens(F.col("text"))).alias("pos", "phrase"))
     names = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("name"))
     return lexical.expand_symbols(_index(spark, d), names, phrases)
 
@@ -225,15 +234,14 @@ def golden_set(spark, d):
 
 
 def _ranks(spark, d):
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("question"), F.substring("text", 1, 60).alias("prefix"))
-    # A stated set of questions against all texts: each text is scanned for the broadcast prefixes.
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("question"), "text")
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    held = docs.join(F.broadcast(items), F.contains("text", "prefix")).groupBy("question").agg(F.min(F.struct("doc_id", "source")).alias("t"))
+    held = evaluation.containing(docs, items).groupBy("question").agg(F.min(F.struct("doc_id", "source")).alias("t"))
     expected = items.join(held, "question", "left").select("question", F.col("t.doc_id").alias("expected_id"), F.coalesce("t.source", F.lit("none")).alias("file"))
     return evaluation.ranks_of(expected, _bm25_hits(spark, d, 10).select("question", F.col("doc").alias("id"), "rank"))
 
 
-_RANKS = f"""{_BM25}, ex AS (SELECT item_id AS question, (SELECT min((doc_id, source)) FROM documents WHERE contains(documents.text, substr(benchmark.text, 1, 60))) AS t FROM benchmark),
+_RANKS = f"""{_BM25}, ex AS (SELECT item_id AS question, (SELECT min((doc_id, source)) FROM documents WHERE contains(documents.text, benchmark.text)) AS t FROM benchmark),
 rk AS (SELECT ex.question, coalesce(t[2], 'none') AS file, h.rank FROM ex LEFT JOIN h ON h.question = ex.question AND h.doc = t[1] AND h.rank <= 10 AND h.score > 0)"""
 
 
@@ -282,7 +290,12 @@ def cache_hit_rate(spark, d):
     return tracing.hit_rate(table(spark, d, "events"), F.col("event_type") == "click")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+w(event_id, user_id, event_type, ts, n, written, hit) AS (
+  SELECT event_id, user_id, event_type, ts, n, ts, false FROM r WHERE n = 1
+  UNION ALL SELECT r.event_id, r.user_id, r.event_type, r.ts, r.n, CASE WHEN r.ts - w.written < INTERVAL 300 SECOND THEN w.written ELSE r.ts END, r.ts - w.written < INTERVAL 300 SECOND
+  FROM w JOIN r ON r.user_id = w.user_id AND r.event_type = w.event_type AND r.n = w.n + 1)
+SELECT event_id, user_id, event_type, ts, hit FROM w""")
 def ttl_cache_hits(spark, d):
     asked = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
     return tracing.with_cache_hits(asked, ["user_id", "event_type"])
@@ -290,7 +303,8 @@ def ttl_cache_hits(spark, d):
 
 @query("SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS status FROM events GROUP BY ALL")
 def status_last(spark, d):
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("status"))
+    changes = table(spark, d, "events").withColumn("key", F.struct("user_id", "event_type"))
+    return tracing.last_status(changes, "key", "value", F.struct("ts", "event_id")).select("key.*", "status")
 
 
 _SNAPSHOT = """
@@ -347,13 +361,20 @@ def embed_cache_probe(spark, d):
 
 
 @query("""
-WITH f AS (SELECT lang, source, min(doc_id) AS pl FROM documents GROUP BY ALL),
-n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY pl) AS n FROM f)
-SELECT lang, string_agg(source, ', ' ORDER BY n) AS profile FROM n WHERE n <= 5 GROUP BY lang""")
+WITH r AS (SELECT lang, source AS name, doc_id, n_chars, doc_id % 3 = 0 AS c FROM documents),
+g AS (SELECT lang, c, name, min(({'f': name, 'l': doc_id % 100, 'i': doc_id})) AS pl FROM r GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, c ORDER BY pl) AS n FROM g),
+m AS (SELECT lang, name, row_number() OVER (PARTITION BY lang ORDER BY pl) AS n FROM (SELECT lang, name, min(({'f': name, 'l': doc_id % 100, 'i': doc_id})) AS pl FROM r GROUP BY ALL))
+SELECT lang, 'Classes: ' || coalesce((SELECT string_agg(name, ', ' ORDER BY n) FROM o WHERE o.lang = x.lang AND c AND n <= 20), '') || chr(10) ||
+  'Functions: ' || coalesce((SELECT string_agg(name, ', ' ORDER BY n) FROM o WHERE o.lang = x.lang AND NOT c AND n <= 30), '') || chr(10) ||
+  'Imports: ' || coalesce((SELECT string_agg(name, ', ' ORDER BY n) FROM m WHERE m.lang = x.lang AND n <= 15), '') AS profile
+FROM (SELECT DISTINCT lang FROM documents) x""")
 def repo_profile(spark, d):
-    once = table(spark, d, "documents").groupBy("lang", "source").agg(F.min("doc_id").alias("at"))
-    top = once.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at"))).where("n <= 5")
-    return top.groupBy("lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "source"))), lambda x: x["source"]), ", ").alias("profile"))
+    docs = table(spark, d, "documents").select(
+        F.col("lang").alias("repo_id"), F.col("source").alias("file"), F.col("source").alias("name"), F.col("doc_id").alias("id"), (F.col("doc_id") % 100).alias("line_start"),
+        F.when(F.col("doc_id") % 3 == 0, "class").otherwise("function").alias("type"), F.array("source").alias("imports"),
+    )
+    return store.repo_profile(docs).select(F.col("repo_id").alias("lang"), "profile")
 
 
 # -- graph ---------------------------------------------------------------------------------------------------------
@@ -370,20 +391,11 @@ def call_graph_inversion(spark, d):
     return graph.invert(known.unionByName(called)).select(F.col("id").alias("target"), "called_by")
 
 
-@query(f"""WITH {_LINKS}, n AS (SELECT DISTINCT target AS name FROM l WHERE target LIKE 'T%'), x AS (SELECT url AS source, target FROM l WHERE target IN (SELECT name FROM n))
+@query(f"""WITH {_LINKS}, n AS (SELECT DISTINCT target AS name FROM l), x AS (SELECT url AS source, target FROM l WHERE target IN (SELECT name FROM n))
 SELECT DISTINCT source, target FROM x""")
 def explorer_edges(spark, d):
-    return _explorer_edges(spark, d, F.startswith("name", F.lit("T")))
-
-
-@query()
-def explorer_edges_whole(spark, d):
-    return _explorer_edges(spark, d, F.lit(True))
-
-
-def _explorer_edges(spark, d, shown):
     pages = graph.pages_as_chunks(table(spark, d, "pages"))
-    targets = pages.select(F.explode("calls").alias("name")).distinct().where(shown)
+    targets = pages.select(F.explode("calls").alias("name")).distinct()
     return graph.explorer_edges(pages.select("name", "calls").unionByName(targets.withColumn("calls", F.array().cast("array<string>"))))
 
 
@@ -393,39 +405,45 @@ def symbol_search(spark, d):
     return graph.find_symbols(parts, "A")
 
 
-#: The rows that bfs_expand's SQL reads; the queries without SQL read all of lineitem.
-_SPARSE = "l_quantity = 50 and l_discount >= 0.09"
-
-
-def _edges(spark, d, rows="true"):
-    pairs = table(spark, d, "lineitem").where(rows).select("l_suppkey", "l_partkey").distinct()
+def _edges(spark, d):
+    pairs = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
     down = pairs.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
     both = down.unionByName(down.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return both.withColumn("tier", F.lit(1)).withColumn("name", F.col("dst"))
 
 
-def _seeds(spark, d, rows="true"):
-    return _edges(spark, d, rows).where(F.startswith("src", F.lit("s"))).select("src").distinct().select(
+def _seeds(spark, d):
+    return _edges(spark, d).where(F.startswith("src", F.lit("s"))).select("src").distinct().select(
         F.col("src").alias("question"), F.col("src").alias("id"), F.lit(1.0).alias("score"), F.lit(0).alias("pos")
     )
 
 
-_EDGES = """p AS (SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS t FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.09),
+_EDGES = """p AS (SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS t FROM lineitem),
 e AS (SELECT s AS src, t AS dst FROM p UNION ALL SELECT t, s FROM p)"""
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, w(question, id, hop) AS (SELECT DISTINCT s, s, 0 FROM p UNION SELECT question, dst, hop + 1 FROM w JOIN e ON src = id WHERE hop < 2)
 SELECT question, id, min(hop)::INT AS graph_distance, round(1.0::DOUBLE - 0.05::DOUBLE * min(hop), 9) AS graph_score FROM w GROUP BY ALL""")
 def bfs_expand(spark, d):
-    return graph.expand(_seeds(spark, d, _SPARSE), _edges(spark, d, _SPARSE), depth=2, max_expanded=None)
+    return graph.expand(_seeds(spark, d), _edges(spark, d), depth=2, max_expanded=None)
 
 
-@query()
-def bfs_expand_whole(spark, d):
-    return graph.expand(_seeds(spark, d), _edges(spark, d), depth=2, max_expanded=None)
+def _capped_sql(depth: int, cap: int) -> str:
+    """Hop by hop: first visits in the order of their parents, then as many rows as the cap leaves, one at least."""
+    steps = ["h0 AS (SELECT DISTINCT s AS question, s AS id, 0 AS hop, 0 AS pos FROM p)"]
+    for k in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT * FROM h{j}" for j in range(k))
+        steps += [
+            f"r{k} AS ({seen})", f"t{k} AS (SELECT question, count(*) FILTER (hop > 0) AS taken FROM r{k} GROUP BY question)",
+            f"v{k} AS (SELECT question, dst AS id, min(pos) AS parent FROM h{k - 1} JOIN e ON src = id WHERE NOT EXISTS (SELECT 1 FROM r{k} x WHERE x.question = h{k - 1}.question AND x.id = dst) GROUP BY ALL)",
+            f"n{k} AS (SELECT question, id, {k} AS hop, row_number() OVER (PARTITION BY question ORDER BY parent, id) AS pos FROM v{k})",
+            f"h{k} AS (SELECT n{k}.* FROM n{k} JOIN t{k} USING (question) WHERE pos <= greatest({cap} - taken, 1))",
+        ]
+    return f"""WITH {_EDGES}, {', '.join(steps)}, o AS (SELECT question, id, hop, round(1.0::DOUBLE - 0.05::DOUBLE * hop, 9) AS score FROM ({' UNION ALL '.join(f'SELECT * FROM h{j}' for j in range(depth + 1))}))
+SELECT question, id, hop::INT AS graph_distance, score AS graph_score, row_number() OVER (PARTITION BY question ORDER BY (hop <> 1)::INT, score DESC, hop, id)::INT AS rank FROM o"""
 
 
-@query()
+@query(_capped_sql(3, 15))
 def bfs_capped(spark, d):
     return graph.ordered(graph.expand(_seeds(spark, d), _edges(spark, d), depth=3, max_expanded=15))
 
@@ -497,25 +515,16 @@ def relevance_score(spark, d):
 
 @query("""
 WITH l AS (SELECT DISTINCT 's' || l_suppkey AS question, 'p' || l_partkey AS id, 1.0::DOUBLE / (1 + l_partkey % 9) AS score, 'c' || (l_partkey % 5) || '.m' || l_partkey AS name,
-    ['m' || (l_partkey + 1), 'm' || (l_partkey + 200)] AS calls FROM lineitem WHERE l_discount >= 0.1),
+    ['m' || (l_partkey + 1), 'm' || (l_partkey + 200)] AS calls FROM lineitem),
 o AS (SELECT question, list(name) AS names, list(split_part(name, '.', 2)) AS bare FROM l GROUP BY question),
 s AS (SELECT a.question, a.id, coalesce(max(b.score), 0)::DOUBLE AS sibling FROM l a LEFT JOIN l b ON a.question = b.question AND a.id <> b.id AND split_part(a.name, '.', 1) = split_part(b.name, '.', 1) GROUP BY ALL)
 SELECT question, id, len(list_filter(calls, lambda c: list_contains(names, c) OR list_contains(bare, c)))::INT AS connectivity, sibling AS sibling_score,
   round(score + least(len(list_filter(calls, lambda c: list_contains(names, c) OR list_contains(bare, c))), 4) * 0.05::DOUBLE + sibling * 0.15::DOUBLE, 9) AS priority
 FROM l JOIN o USING (question) JOIN s USING (question, id)""")
 def structural_priority(spark, d):
-    return _structural_priority(spark, d, "l_discount >= 0.1")
-
-
-@query()
-def structural_priority_whole(spark, d):
-    return _structural_priority(spark, d, "true")
-
-
-def _structural_priority(spark, d, read):
     k = F.col("l_partkey")
     name = lambda c: F.concat(F.lit("m"), c.cast("string"))
-    rows = table(spark, d, "lineitem").where(read).select(
+    rows = table(spark, d, "lineitem").select(
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("question"), F.concat(F.lit("p"), k.cast("string")).alias("id"), (F.lit(1.0) / (1 + k % 9)).alias("score"),
         F.concat(F.lit("c"), (k % 5).cast("string"), F.lit("."), name(k)).alias("name"), F.array(name(k + 1), name(k + 200)).alias("calls"),
     ).distinct().withColumn("called_by", F.array().cast("array<string>"))
@@ -538,14 +547,14 @@ def explicit_symbols(spark, d):
     parts = table(spark, d, "part")
     asked = parts.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("question"), F.concat(F.lit("how does "), "p_name", F.lit(" relate to "), "p_brand").alias("text"))
     names = parts.select(F.col("p_name").alias("name")).distinct()
-    return context.explicit_symbols(asked, names.crossJoin(F.broadcast(asked.select("question"))))
+    return context.explicit_symbols(asked, names)
 
 
-@query(f"WITH {_KNN.format('AND a.vec_id <> b.vec_id')}, q AS (SELECT vec_id AS question FROM embeddings WHERE vec_id % 50 = 0), b AS (SELECT question, max(round(score, 4)) AS top_score FROM kr WHERE rank <= 5 GROUP BY 1) SELECT question, top_score, coalesce(top_score, -1) < 0.4 AS low FROM q LEFT JOIN b USING (question)")
+@query(f"WITH {_KNN.format('AND a.vec_id <> b.vec_id')}, q AS (SELECT vec_id AS question FROM embeddings WHERE vec_id % 100 = 0), b AS (SELECT question, max(round(score, 4)) AS top_score FROM kr WHERE rank <= 5 GROUP BY 1) SELECT question, top_score, coalesce(top_score, -1) < 0.4 AS low FROM q LEFT JOIN b USING (question)")
 def low_confidence(spark, d):
     v = table(spark, d, "embeddings")
     hits = _vector_hits(spark, d, 6).where("question <> id")
-    return context.low_confidence(hits, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question")), 0.4)
+    return context.low_confidence(hits, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question")), 0.4)
 
 
 @query(f"""WITH {_KNN.format('')}, a AS (SELECT question, id FROM kr WHERE rank <= 20), s AS (SELECT question, id FROM kr WHERE rank <= 20 AND rank % 3 <> 0)
@@ -567,3 +576,148 @@ def cosine_pairs(spark, d):
 def token_budget(spark, d):
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", text.token_count(t).alias("tokens"), F.length(text.cut_to_tokens(t, 100)).alias("cut_chars"))
+
+
+# -- what answers show and cite, records, agent ----------------------------------------------------------------------
+
+
+def _evidence(spark, d):
+    """Turns of conversations as evidence: the conversation asks, a turn is a chunk that calls the next one."""
+    return table(spark, d, "conversations").select(
+        F.col("conv_id").alias("question"), F.col("turn").alias("id"), F.concat("role", F.col("turn").cast("string")).alias("name"), F.lit("method").alias("type"), F.concat(F.lit("src/"), "role").alias("file"),
+        (F.lit(1.0) / (1 + F.col("turn"))).alias("score"), F.coalesce("text", F.lit("")).alias("raw_source"), F.col("turn").alias("retrieval_rank"),
+        F.array(F.concat(F.when(F.col("role") == "user", "assistant").otherwise("user"), (F.col("turn") + 1).cast("string"))).alias("calls"), F.array().cast("array<string>").alias("called_by"),
+    )
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+SELECT conv_id AS question, string_agg('[' || n || '] src/' || role || ' - ' || role || turn || chr(10) || substr(coalesce(text, ''), 1, 500), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS context FROM r GROUP BY conv_id""")
+def search_context(spark, d):
+    return context.search_context(_evidence(spark, d))
+
+
+@query("SELECT conv_id AS question, turn AS id, substr(coalesce(text, ''), 1, 300) AS shown FROM conversations")
+def search_excerpts(spark, d):
+    return context.excerpts(_evidence(spark, d)).select("question", "id", F.col("raw_source").alias("shown"))
+
+
+@query("""SELECT conv_id AS question, string_agg('method ' || role || turn || ' in src/' || role || chr(10) || 'calls ' || CASE WHEN role = 'user' THEN 'assistant' ELSE 'user' END || (turn + 1) || chr(10) || 'called by ' || chr(10) ||
+  substr(coalesce(text, ''), 1, 400), chr(10) || chr(10) ORDER BY turn) AS summary FROM conversations GROUP BY conv_id""")
+def evidence_summary(spark, d):
+    return context.evidence_summary(_evidence(spark, d))
+
+
+@query("SELECT conv_id AS question, string_agg('- ' || role || turn || ' (src/' || role || ')', chr(10) ORDER BY role || turn, role) AS inventory FROM conversations GROUP BY conv_id")
+def evidence_inventory(spark, d):
+    return context.inventory(_evidence(spark, d))
+
+
+@query("""WITH e AS (SELECT conv_id, turn, role || turn AS name, CASE WHEN role = 'user' THEN 'assistant' ELSE 'user' END || (turn + 1) AS callee FROM conversations)
+SELECT conv_id AS question, count(*) FILTER (callee IN (SELECT name FROM e o WHERE o.conv_id = e.conv_id)) AS connected, count(*) FILTER (callee IN (SELECT name FROM e o WHERE o.conv_id = e.conv_id)) < 3 AS needs_more FROM e GROUP BY conv_id""")
+def needs_more_context(spark, d):
+    return agent.needs_more(_evidence(spark, d))
+
+
+@query("""WITH r AS (SELECT conv_id, role || q AS symbol FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES ('user'), ('assistant')) v(role), (VALUES (0), (1), (5)) w(q))
+SELECT conv_id AS question, 'Talk.' || symbol AS symbol FROM r WHERE NOT EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = r.conv_id AND c.role || c.turn = r.symbol)""")
+def unresolved_symbols(spark, d):
+    named = F.transform(F.array(*[F.lit(f"{r}{q}") for r in ("user", "assistant") for q in (0, 1, 5)]), lambda x: F.concat(F.lit("Talk."), x))
+    required = table(spark, d, "conversations").select(F.col("conv_id").alias("question")).distinct().select("question", F.explode(named).alias("symbol"))
+    return agent.unresolved(required, _evidence(spark, d))
+
+
+@query("""WITH x AS (SELECT conv_id, turn, role || turn AS name, turn = (SELECT max(turn) FROM conversations m WHERE m.conv_id = c.conv_id) AS named FROM conversations c)
+SELECT conv_id AS question, turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY NOT named, turn)::INT AS rank FROM x""")
+def exact_symbol_prefix(spark, d):
+    rows = _evidence(spark, d)
+    last = rows.groupBy("question").agg(F.max_by("name", "id").alias("_n"), F.max("id").alias("_i"))
+    queries = last.select("question", F.concat(F.lit("function "), "_n", F.lit("_"), F.col("question").cast("string")).alias("query"))
+    unique = rows.withColumn("name", F.concat("name", F.lit("_"), F.col("question").cast("string"))).select("question", "id", "name", "score", (F.col("id") + 1).cast("int").alias("rank"))
+    named = unique.drop("question", "rank", "score")
+    return agent.exact_prefix(unique, named, queries).select("question", "id", "rank")
+
+
+@query("""SELECT o_custkey AS repo_id, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders GROUP BY o_custkey""")
+def repo_records(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("repo_id"), F.col("o_orderstatus").alias("status"), F.struct("o_orderdate", "o_orderkey").alias("updated_at"))
+    old, new = rows.where("updated_at.o_orderkey % 2 = 0"), rows
+    return records.put(records.put(old.limit(0), old), new).select("repo_id", "status")
+
+
+@query("SELECT event_id AS apply_id, user_id AS repo_id FROM events WHERE event_type = 'click' AND ts > TIMESTAMP '2024-01-15 00:00:00' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+def pending_applies(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_id").alias("apply_id"), F.col("user_id").alias("repo_id"), F.when(F.col("event_type") == "click", "pending_review").otherwise("done").alias("status"), F.col("ts").alias("expires_at"), "event_type")
+    return records.pending(rows, rows.where("event_type = 'purchase'"), F.lit("2024-01-15 00:00:00").cast("timestamp")).select("apply_id", "repo_id")
+
+
+@query("""WITH s AS (SELECT user_id, max(ts) AS synced FROM events WHERE event_type = 'click' GROUP BY 1)
+SELECT event_id FROM events LEFT JOIN s USING (user_id) WHERE event_type <> 'click' AND (synced IS NULL OR ts > synced)""")
+def answers_after_sync(spark, d):
+    rows = table(spark, d, "events").withColumnRenamed("user_id", "repo_id")
+    return records.invalidated(rows.where("event_type <> 'click'").withColumnRenamed("ts", "written_at"), rows.where("event_type = 'click'").withColumnRenamed("ts", "synced_at")).select("event_id")
+
+
+@query("SELECT n_nationkey AS question, '{\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' AS body FROM nation")
+def json_responses(spark, d):
+    return records.as_json(table(spark, d, "nation").withColumnRenamed("n_nationkey", "question"))
+
+
+@query(f"WITH {_LINKS} SELECT count(*) AS edges FROM (SELECT DISTINCT target, url FROM l)")
+def graph_total_edges(spark, d):
+    return graph.total_edges(QUERIES["call_graph_inversion"](spark, d)).select(F.col("edges").cast("long").alias("edges"))
+
+
+@query("""WITH c AS (SELECT vec_id, j, avg(embedding[8 * i + j + 1]::DOUBLE) AS x FROM embeddings, range(8) a(i), range(8) b(j) WHERE (vec_id + i) % 3 <> 0 GROUP BY ALL),
+n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM c GROUP BY vec_id) SELECT vec_id, j::INT AS i, round(x / greatest(n, 1e-9), 6) AS x FROM c JOIN n USING (vec_id)""")
+def masked_mean_pool(spark, d):
+    cells = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, F.lit(8)))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when((F.col("vec_id") + i) % 3 != 0, 1).otherwise(0))
+    pooled = table(spark, d, "embeddings").select("vec_id", nearest.masked_mean(cells, mask).alias("v"))
+    return pooled.select("vec_id", F.posexplode("v").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("WITH c AS (SELECT DISTINCT md5(text) AS m FROM documents WHERE doc_id % 2 = 0) SELECT count(*) AS chunks, count(DISTINCT source) AS files, count(*) FILTER (m IS NOT NULL) AS cached, count(*) FILTER (m IS NULL) AS fresh FROM documents LEFT JOIN c ON md5(text) = m")
+def ingest_counters(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("file"), "text", "doc_id")
+    return chunks.counted(docs, docs.where("doc_id % 2 = 0").select(F.md5("text").alias("text_md5")))
+
+
+@query(fixtures.values(fixtures.EXPECTED_REPAIRS, "broken, repaired"))
+def json_repair(spark, d):
+    return fixtures.broken_json(spark).select("broken", text.repaired_json(F.col("broken")).alias("repaired"))
+
+
+@query(fixtures.values(fixtures.EXPECTED_SYMBOL_WORDS, "question, symbol"))
+def sole_symbol(spark, d):
+    return fixtures.symbol_words(spark).select("question", F.coalesce(text.sole_symbol(F.col("question")), F.lit("-")).alias("symbol"))
+
+
+def _repository(spark) -> retrieval.Repository:
+    return retrieval.build(chunks.chunk_python(fixtures.files(spark), "repo"))
+
+
+@query()
+def retrieve_with_graph(spark, d):
+    return retrieval.retrieve(_repository(spark), fixtures.asked(spark)).select("question", "name", "file", "score", "graph_distance")
+
+
+@query()
+def answers(spark, d):
+    return retrieval.answers(_repository(spark), fixtures.asked(spark), lambda p: F.concat(F.lit("from "), F.length(p).cast("string"), F.lit(" characters"))).select("question", "answer", F.size("sources").alias("n_sources"))
+
+
+@query()
+def symbol_graph(spark, d):
+    return retrieval.symbol_graph(_repository(spark), fixtures.SEED)[0].select("name", "file", "graph_distance", "is_entry")
+
+
+@query()
+def agentic_evidence(spark, d):
+    return retrieval.agentic_evidence(_repository(spark), fixtures.asked(spark))[0].select("question", "name", "position")
+
+
+@query()
+def incremental_sync(spark, d):
+    files = fixtures.files(spark)
+    old = chunks.chunk_python(files, "repo")
+    return retrieval.sync(old, files, files.withColumn("content", F.concat("content", F.lit("\n\ndef added(x):\n    return x\n"))), "repo").counters

@@ -85,7 +85,8 @@ def neighbour_requests(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_REQUESTS, "request int, file string, current string, callee string")
 
 
-EXPECTED_ORDER = [("main", 0), ("Basket", 1), ("run", 2), ("run", 3), ("Basket.__init__", 4), ("Basket.reset", 5), ("Disk.save", 6), ("Net.save", 7)]
+# By hand: main calls Basket (the class), save (both methods, by their bare name) and run (twice); then what nothing reaches.
+EXPECTED_ORDER = [("main", 0), ("Basket", 1), ("Disk.save", 2), ("Net.save", 3), ("run", 4), ("run", 5), ("Basket.__init__", 6), ("Basket.reset", 7)]
 
 _SYMBOLS = [("Basket.add", "add"), ("Basket.add", "Basket.add"), ("add", "Basket.add"), ("Basket.add", "Disk.add"), ("Basket.add", "Basket"), ("save", "load")]
 EXPECTED_SYMBOLS = [(*s, same) for s, same in zip(_SYMBOLS, (True, True, True, True, False, False), strict=True)]
@@ -111,3 +112,30 @@ def values(rows: list[tuple], columns: str) -> str:
     """Rows as a DuckDB query of literals."""
     one = lambda v: "TRUE" if v is True else "FALSE" if v is False else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) v({columns})"
+
+
+EXPECTED_REPAIRS = [
+    ('{"a": "b', '{"a": "b"}'), ('{"a": [1, {"b": 2', '{"a": [1, {"b": 2}]}'), ('{"a": 1, "b":', '{"a": 1}'), ('{"a": 1,', '{"a": 1}'), ('{"a": "x [ y"', '{"a": "x [ y"}'), ('{"a": 1}', '{"a": 1}'),
+]
+EXPECTED_SYMBOL_WORDS = [("what is Basket", "Basket"), ("how does it work", "-"), ("show the", "-"), ("where is dispatch_request", "dispatch_request")]
+
+
+def broken_json(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(b,) for b, _ in EXPECTED_REPAIRS], "broken string")
+
+
+def symbol_words(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(q,) for q, _ in EXPECTED_SYMBOL_WORDS], "question string")
+
+
+SEED = "Basket.add"
+
+
+def asked(spark: SparkSession) -> DataFrame:
+    """Rewritten questions about the fixture's files."""
+    rows = [
+        ("q1", "how is the total of a Basket made", "adds up prices", ["total", "price"], "understand_flow", "callees", 2),
+        ("q2", "where is add", "adds an item", ["add"], "find_function", "both", 1),
+        ("q3", "zzz qqq", "zzz", ["zzz"], "debug", "callers", 1),
+    ]
+    return spark.createDataFrame(rows, "question string, question_text string, summary string, phrases array<string>, intent string, direction string, depth int")

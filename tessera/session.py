@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +31,47 @@ def local_session(cpus: int = 8, partitions: int = 8) -> SparkSession:
     )
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir; a local session may do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: what is read several times is made once, and plans stay short.
+
+    The folder survives lost executors and goes at the application's end.
+    """
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that their Python can import it wherever the driver runs."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tessera-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One input table, pruned to ``columns`` where some are named."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

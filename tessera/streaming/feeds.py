@@ -35,15 +35,16 @@ def first_texts(texts: DataFrame) -> DataFrame:
     return texts.withColumn("text_md5", F.md5("text")).dropDuplicates(["text_md5"])
 
 
-def upsert_feed(changes: DataFrame, path: str, key: str = "id") -> Callable[[DataFrame, int], None]:
+def upsert_feed(changes: DataFrame, path: str, key: str = "id", at: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that merges each micro-batch into the Parquet table at ``path``, in turns of two folders.
 
-    The state after batch n is in folder n % 2, so a batch that is run again reads what it read before.
+    Of several rows of a key in a batch the one of the greatest ``at`` counts (by default the greatest row), so a batch that is run again gives the same table. The state after batch n is in folder n % 2, so a batch that is run again reads what it read before.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
+        row = F.struct(*[c for c in batch.columns if c != key])
+        new = batch.groupBy(key).agg(F.max_by(row, F.struct(F.col(at), row) if at else row).alias("_r")).select(key, "_r.*").select(*batch.columns)
         merged = new if number == 0 else store.upsert(spark.read.parquet(f"{path}/{(number + 1) % 2}"), new, key)
         merged.write.mode("overwrite").parquet(f"{path}/{number % 2}")
 

@@ -10,7 +10,7 @@ from tessera.session import TABLES
 SF = "/root/testdata/sf0.001"
 CHECKED = [
     "point_lookup", "tokenize_stats", "uuid5_ids", "bm25_topk", "symbol_expansion", "knn_topk", "rrf_fusion", "hybrid_search", "latency_percentiles", "trace_cost", "hash_diff",
-    "call_graph_inversion", "bfs_expand", "graph_constructor_edges", "neighbour_resolution", "chunk_python", "call_order", "rewrite_normalise", "structural_priority", "topic_terms",
+    "call_graph_inversion", "bfs_expand", "bfs_capped", "ttl_cache_hits", "graph_constructor_edges", "explicit_symbols", "repo_profile", "exact_symbol_prefix", "neighbour_resolution", "chunk_python", "call_order", "rewrite_normalise", "structural_priority", "topic_terms",
 ]
 
 

