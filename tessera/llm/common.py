@@ -3,57 +3,29 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
+from tessera import session
+
 #: Arrow batches hold whole texts here, so they are smaller than Spark's defaults (the second value of each).
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("1000", "10000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("8388608", "67108864")}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once, so that their Python can import it wherever the driver runs.
-
-    Also lowers the session's Arrow batch sizes (``ARROW``) where they are still Spark's defaults.
-    """
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
+    """Send this package to the executors, and lower the session's Arrow batch sizes (``ARROW``) where they are Spark's defaults."""
     for key, (ours, default) in ARROW.items():
         if spark.conf.get(key, default) == default:
             spark.conf.set(key, ours)
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="tessera-code-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for source in sorted(package.rglob("*.py")):
-            out.write(source, source.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    _shipped.add(context.applicationId)
+    session.ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
-
-    Only a local master (tests, a laptop) may do without that setting; it then gets a folder of this machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 #: Lets Spark delete the shuffle files of a query once it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -72,7 +44,7 @@ def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    path = f"{session.scratch(spark)}/staged-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:

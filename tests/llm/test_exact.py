@@ -209,3 +209,12 @@ def test_window_of_brute_force_words():
     assert [n for _, n in windows_of(words_of("a b c"), 10)] == [3] and len(windows_of([b"x"] * 12)) == 3 and windows_of([]) == []
 
 
+
+
+def test_labelled_sample_takes_an_id_once(spark):
+    docs = spark.createDataFrame([(1, "b")] * 20 + [(1, "a"), (2, "two"), (3, None), (4, "four"), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 20 + [(2, 0), (2, 1), (3, 1), (4, 0), (None, 1), (1, None), (4, 7)], "doc_id long, toxic int")
+    import zlib
+
+    want = [(str(k), t, y) for k, t, y in ((4, "four", 0), (1, "a", 1)) if zlib.crc32(str(k).encode()) % 5]
+    assert toxicity.labelled_sample(docs, labels) == want and want
