@@ -2,14 +2,17 @@
 
 The pages of one host are merged into a tree of element paths. A path whose presentation and content hardly
 vary over the host's pages (entropy near its maximum: the same everywhere) is template, and its branch is cut
-from every page. What is template by its very element or name (menus, forms, adverts, ...) goes as well, and a
-page that marks its article keeps to it.
+from every page. Where a host has few pages, what all hosts together tell of a path counts too. Parts that differ from page
+to page and still aren't the article (adverts, reader comments, forms) show in no entropy; those go by their element or
+name, and a page that marks its article keeps to it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -17,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import passed, staged, table
+from .common import hot_join, passed, release, staged, table
 from .near_dedup import text_key
 
 #: Element names by their role in a page.
@@ -33,6 +36,7 @@ ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr main menu nav ol p pre search section table ul".split()
 )
+LISTS = frozenset("ul ol dl table select menu".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words in class, id or role that name parts around an article.
 NAMES = frozenset(
@@ -41,78 +45,159 @@ NAMES = frozenset(
     "navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion related "
     "replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-#: A path is template below this importance, once blended with PRIOR pages of importance 1: few pages say little.
+#: A path is template below this importance, once blended with PRIOR pages of the path's importance on other hosts, which is
+#: itself blended with PRIOR pages of importance 1: few pages say little.
 IMPORTANCE, PRIOR, DECAY = 0.3, 1, 0.9
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
+_STOP = re.compile(r"""["'<>]""")
+#: Characters in which a tag is looked for by one pattern; longer ones are read stop by stop.
+_NEAR = 2000
 _NAMED = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none""", re.I)
 
 
 @dataclass(slots=True)
-class Element:
-    tag: str
-    path: str
-    #: Template by element or name; inside an article; the path below it names a class or id.
-    template: bool
+class Node:
+    """An element that tells blocks apart. ``path`` stands for the labels from the root; the flags: template by element, by name,
+    inside an article, and whether a label inside the article names a class or id."""
+
+    parent: int
+    path: int
+    by_element: bool
+    by_name: bool
     article: bool
     named: bool
 
 
 @dataclass(slots=True)
 class Block:
-    path: str
+    node: int
     text: str
-    template: bool
-    article: bool
-    named: bool
 
 
-def parse(page: str | None) -> list[Block]:
-    """The page's blocks in order: text with references decoded and white space made one space."""
+@dataclass(slots=True)
+class Page:
+    """The nodes of a page, parents first, its blocks in order, and a digest of the child sequence of each inner path."""
+
+    nodes: list[Node]
+    blocks: list[Block]
+    styles: dict[int, int]
+
+
+_MASK = (1 << 64) - 1
+
+
+def _step(h: int, label: str) -> int:
+    """The path below ``h``, as a signed 64-bit number."""
+    return (xxhash.xxh3_64_intdigest(label.encode("utf-8", "surrogatepass"), h & _MASK) ^ (1 << 63)) - (1 << 63)
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of tags, comments and declarations (name empty), in time linear in the page.
+
+    A < from which no tag can be closed is text; so are all < outside quotes that such an attempt has passed.
+    """
+    at, dead, gone = 0, set(), {}
+    while (lt := page.find("<", at)) >= 0:
+        at = lt + 1
+        if page.startswith(("<!", "<?"), lt):
+            to = page.find("-->" if page.startswith("<!--", lt) else ">", lt + 2)
+            at = len(page) if to < 0 else to + (3 if page.startswith("<!--", lt) else 1)
+            yield lt, at, "", "", ""
+            continue
+        if lt in dead or not (page[lt + 1 : lt + 2].isalpha() or page.startswith("</", lt)):
+            continue
+        m = _TAG.match(page, lt, lt + _NEAR)
+        if m is not None:
+            at = m.end()
+            yield lt, at, m[1], m[2].lower(), m[3]
+            continue
+        passed, i = [], lt + 1
+        while (stop := _STOP.search(page, i)) is not None and stop[0] != ">":
+            c, i = stop[0], stop.end()
+            if c == "<":
+                passed.append(stop.start())
+                continue
+            if gone.get(c, len(page)) <= i or (to := page.find(c, i)) < 0:
+                gone[c] = min(i, gone.get(c, i))
+                stop = None
+                break
+            i = to + 1
+        m = _HEAD.match(page, lt)
+        if stop is None or m is None:
+            dead.update(passed)
+            continue
+        at = stop.end()
+        yield lt, at, m[1], m[2].lower(), page[m.end() : at - 1]
+
+
+_HEAD = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+
+
+def parse(page: str | None) -> Page:
+    """The page's blocks in order: text with references decoded and white space made one space.
+
+    Work and memory are linear in the page, however deep its elements are nested and whatever stays unclosed.
+    """
     page = page or ""
-    stack = [Element("", "", False, False, False)]
-    out: list[Block] = []
+    out = Page([Node(-1, 0, False, False, False, False)], [], {})
+    nodes = out.nodes
+    stack: list[tuple[str, int]] = [("", 0)]
+    open_: Counter[str] = Counter()
     held: list[str] = []
+    told = [False]
+    last: dict[int, int] = {}
 
     def flush() -> None:
         text = " ".join("".join(held).split())
         held.clear()
-        if text:
-            top = stack[-1]
-            out.append(Block(top.path, text, top.template, top.article, top.named))
+        if not text:
+            return
+        node = stack[-1][1]
+        out.blocks.append(Block(node, text))
+        while node and not told[node]:  # each node is told to its parent once, when it has its first text
+            told[node] = True
+            above, path = nodes[nodes[node].parent].path, nodes[node].path
+            if last.get(above) != path:
+                last[above] = path
+                out.styles[above] = _step(out.styles.get(above, 0), str(path))
+            node = nodes[node].parent
 
     def close(k: int) -> None:
-        if any(e.tag in BLOCKS for e in stack[k:]):
+        if any(tag in BLOCKS for tag, _ in stack[k:]):
             flush()
+        open_.subtract(tag for tag, _ in stack[k:])
         del stack[k:]
 
-    at = 0
-    while True:
-        m = _TAG.search(page, at)
-        if m is None:
-            held.append(html.unescape(page[at:]))
-            break
-        if m.start() > at:
-            held.append(html.unescape(page[at : m.start()]))
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m[1]:
+    def close_last(tags, until) -> None:
+        if any(open_[t] > 0 for t in tags):
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
+                if stack[k][0] in tags:
                     close(k)
                     break
-            else:
-                if tag in BLOCKS:
-                    flush()
+                if stack[k][0] in until:
+                    break
+
+    at, raw = 0, -1
+    for start, end, slash, tag, attributes in _tags(page):
+        if start < raw:
+            continue
+        if start > at:
+            held.append(html.unescape(page[at:start]))
+        at = end
+        if not tag:
+            continue
+        if slash:
+            if open_[tag] > 0:
+                close_last((tag,), ())
+            elif tag in BLOCKS:
+                flush()
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            found = re.compile(rf"</{re.escape(tag)}\s*[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = raw = found.end() if found else len(page)
             if tag in BLOCKS:
                 flush()
             continue
@@ -122,72 +207,55 @@ def parse(page: str | None) -> list[Block]:
         if tag in BLOCKS:
             flush()
             if tag in ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        close(k)
-                        break
-                    if stack[k].tag in BLOCKS:
-                        break
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in CLOSES.get(tag, ()):
-                    close(k)
-                    break
-                if stack[k].tag in ("ul", "ol", "dl", "table", "select", "menu"):
-                    break
+                close_last(("p",), BLOCKS)
+            if tag in CLOSES:
+                close_last(CLOSES[tag], LISTS)
             if tag == "body":
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "head":
-                        close(k)
-                        break
+                close_last(("head",), ())
         if tag in VOID:
             continue
-        top = stack[-1]
-        attributes = m[3]
+        above = stack[-1][1]
+        top = nodes[above]
         label, named, hinted = tag, False, False
         if attributes and "=" in attributes or "hidden" in attributes:
             for kind, a, b, c in _NAMED.findall(attributes):
                 value = a or b or c
-                parts = {p.lower() for p in _PART.findall(value)}
-                hinted |= bool(parts & NAMES)
+                hinted |= bool({p.lower() for p in _PART.findall(value)} & NAMES)
                 if kind.lower() != "role":
                     label += "." + re.sub(r"\d+", "#", value.strip())
                     named = True
             hinted |= bool(_HIDDEN.search(attributes))
-        article = top.article or tag in ("article", "main")
-        template = top.template or tag in TEMPLATE or (tag == "header" and not top.article) or (hinted and tag not in ("html", "body", "article", "main"))
-        template |= hinted and tag == "article" and top.article
-        block = tag in BLOCKS
-        stack.append(Element(tag, f"{top.path}/{label}" if block or template and not top.template else top.path, template, article, top.named or (named and top.article)))
+        marks = tag in ("article", "main")
+        by_element = top.by_element or tag in TEMPLATE or (tag == "header" and not top.article)
+        by_name = top.by_name or (hinted and (tag not in ("html", "body", "article", "main") or (tag == "article" and top.article)))
+        open_[tag] += 1
+        if tag in BLOCKS or (by_element, by_name) != (top.by_element, top.by_name):
+            nodes.append(Node(above, _step(top.path, label), by_element, by_name, top.article or marks, top.named or (named and top.article)))
+            told.append(False)
+            stack.append((tag, len(nodes) - 1))
+        else:
+            stack.append((tag, above))
+    if at < len(page):
+        held.append(html.unescape(page[at:]))
     flush()
     return out
 
 
-def styles(blocks: list[Block]) -> dict[str, list[str]]:
-    """For each inner path of the page, the sequence of its children's labels, runs being one."""
-    seen: dict[str, list[str]] = {}
-    for block in blocks:
-        parts = block.path.split("/")
-        for k in range(1, len(parts)):
-            children = seen.setdefault("/".join(parts[:k]), [])
-            if not children or children[-1] != parts[k]:
-                children.append(parts[k])
-    return seen
-
-
 def _digest(*values: str) -> int:
     return xxhash.xxh3_64_intdigest("\0".join(values).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def _features(page: str | None) -> tuple[int, list[dict]]:
-    blocks = parse(page)
-    rows = {(b.path, TEXT, _digest(b.text)) for b in blocks} | {(b.path, PRESENT, 0) for b in blocks}
-    rows |= {(path, STYLE, _digest(*children)) for path, children in styles(blocks).items()}
-    return _digest(*(f"{b.path}\0{b.text}" for b in blocks)), [{"path": p, "kind": k, "feature": f} for p, k, f in sorted(rows)]
+    parsed = parse(page)
+    texts = [(parsed.nodes[b.node].path, b.text) for b in parsed.blocks]
+    rows = {(path, TEXT, _digest(text)) for path, text in texts} | {(path, PRESENT, 0) for path, _ in texts}
+    rows |= {(path, STYLE, chain) for path, chain in parsed.styles.items()}
+    return _digest(*(f"{path}\0{text}" for path, text in texts)), [{"path": p, "kind": k, "feature": f} for p, k, f in sorted(rows)]
 
 
 #: What a page tells of a path: a text it has there, that it has any, and how its children follow each other.
 TEXT, PRESENT, STYLE = 0, 1, 2
-_ROW = pa.struct([("path", pa.string()), ("kind", pa.int32()), ("feature", pa.int64())])
+_ROW = pa.struct([("path", pa.int64()), ("kind", pa.int32()), ("feature", pa.int64())])
 
 
 def features(pages: DataFrame, *, host: str = "_host", html_col: str = "_html") -> DataFrame:
@@ -198,7 +266,7 @@ def features(pages: DataFrame, *, host: str = "_host", html_col: str = "_html")
         return [pa.array([p for p, _ in both], pa.int64()), pa.array([r for _, r in both], pa.list_(_ROW))]
 
     keyed = pages.select(F.col(host).alias("host"), text_key(F.col(html_col)).alias("key"), F.col(html_col).alias("_text"))
-    seen = passed(keyed, {"_text": F.col("_text")}, found, "page long, rows array<struct<path:string,kind:int,feature:long>>", ["host", "key"])
+    seen = passed(keyed, {"_text": F.col("_text")}, found, "page long, rows array<struct<path:long,kind:int,feature:long>>", ["host", "key"])
     return seen.select("_row.host", "_row.key", "page", "rows")
 
 
@@ -226,23 +294,38 @@ def style_tree(seen: DataFrame) -> DataFrame:
     return tree.select("host", "path", F.greatest("with_text", "with_style").alias("pages"), importance.alias("importance"))
 
 
-def main_text(blocks: list[Block], cut: set[str]) -> str:
-    """The blocks that stay once template and the branches in ``cut`` are gone, joined by an empty line.
+def templates(tree: DataFrame, least: float = IMPORTANCE) -> DataFrame:
+    """(host, path) of the template branches of rows of style_tree().
 
-    Unnamed elements of an article are never cut: on a host of few templates plain paragraphs share one path.
+    A path's importance on its host is blended with what the other hosts tell of it; a host of one page says nothing itself.
     """
-    def gone(b: Block) -> bool:
-        if b.template:
-            return True
-        if not cut or b.article and not b.named:
-            return False
-        parts = b.path.split("/")
-        return any("/".join(parts[:k]) in cut for k in range(2, len(parts) + 1))
+    seen = tree.where("importance is not null")
+    told = F.when(F.col("pages") > 1, F.col("pages")).otherwise(0)
+    seen = seen.withColumn("told", told).withColumn("weight", told * F.col("importance"))
+    everywhere = seen.groupBy("path").agg(F.sum("told").alias("all_told"), F.sum("weight").alias("all_weight"))
+    others = (F.col("all_weight") - F.col("weight") + PRIOR) / (F.col("all_told") - F.col("told") + PRIOR)
+    met = hot_join(seen, everywhere, "path").withColumn("others", others)
+    blended = (F.col("weight") + PRIOR * F.col("others")) / (F.col("told") + PRIOR)
+    return met.where(blended < least).select("host", "path")
+
 
-    stay = [b for b in blocks if not gone(b)]
-    if any(b.article for b in stay):
-        stay = [b for b in stay if b.article]
-    return "\n\n".join(b.text for b in stay)
+def main_text(page: Page, cut: set[int]) -> str:
+    """The blocks that stay once the branches in ``cut`` and other template are gone, joined by an empty line.
+
+    Unnamed elements of an article are never cut: on a host of few templates plain paragraphs share one path. An article of
+    which nothing but the name of a wrapper speaks for template stays if there is no other.
+    """
+    gone = [False]
+    for n in page.nodes[1:]:
+        gone.append(gone[n.parent] or n.path in cut)
+    own = [(page.nodes[b.node], b.text, gone[b.node]) for b in page.blocks]
+    left = [(n, t) for n, t, out in own if not n.by_element and (not out or (n.article and not n.named))]
+    stay = [(n, t) for n, t in left if not n.by_name]
+    if any(n.article for n, _ in stay):
+        stay = [(n, t) for n, t in stay if n.article]
+    elif any(n.article for n, _ in left):
+        stay = [(n, t) for n, t in left if n.article]
+    return "\n\n".join(t for _, t in stay)
 
 
 def extract(pages: DataFrame, *, html_col: str = "html", url_col: str = "url", keep: list[str] | None = None) -> DataFrame:
@@ -257,16 +340,17 @@ def extract(pages: DataFrame, *, html_col: str = "html", url_col: str = "url", k
     kept = pages.columns if keep is None else keep
     sites = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_page"), host.alias("_host"), F.col(html_col).cast("string").alias("_html"))
     seen = staged(features(sites.select("_host", "_html")))
-    blended = (F.col("pages") * F.col("importance") + PRIOR) / (F.col("pages") + PRIOR)
-    template = staged(style_tree(seen).where(blended < IMPORTANCE).select("host", "path"))
+    template = staged(templates(style_tree(seen)))
     branches = seen.select("host", "key", F.explode(F.expr("array_distinct(rows.path)")).alias("path"))
-    cut = staged(branches.join(template, ["host", "path"]).groupBy("host", "key").agg(F.collect_set("path").alias("_cut")))
-    joined = sites.join(cut, (sites["_host"] == cut["host"]) & (text_key(sites["_html"]) == cut["key"]), "left").select("_page", "_html", "_cut")
+    # Neither side is ever broadcast: both grow with the pages.
+    cut = staged(branches.join(template.hint("merge"), ["host", "path"]).groupBy("host", "key").agg(F.collect_set("path").alias("_cut")))
+    joined = sites.join(cut.hint("merge"), (F.col("_host") == F.col("host")) & (text_key(F.col("_html")) == F.col("key")), "left").select("_page", "_html", "_cut")
+    release(seen, template)
 
     def text(batch: pa.RecordBatch) -> list[pa.Array]:
         return [pa.array([main_text(parse(h), set(c or ())) for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.string())]
 
-    done = passed(joined, {"_html": F.col("_html"), "_cut": F.col("_cut")}, text, "text string", ["_page"])
+    done = passed(joined, {"_html": "_html", "_cut": F.col("_cut")}, text, "text string", ["_page"])
     return done.select(F.col("_row._page").alias("_row"), "text")
 
 

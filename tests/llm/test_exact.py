@@ -218,3 +218,21 @@ def test_labelled_sample_takes_an_id_once(spark):
 
     want = [(str(k), t, y) for k, t, y in ((4, "four", 0), (1, "a", 1)) if zlib.crc32(str(k).encode()) % 5]
     assert toxicity.labelled_sample(docs, labels) == want and want
+
+
+def test_odd_pages_are_read_in_linear_time():
+    import time
+
+    odd = ["<div>x" * 60_000, "<div>" * 100_000 + "x", '<a "' * 100_000, '<a "x" ' * 60_000 + '">', "<div>" * 60_000 + "</b>" * 60_000, "<li>x" * 60_000, "<script>" * 60_000, "<!--" * 100_000, "x" * 1_000_000]
+    for page in odd:
+        begun = time.perf_counter()
+        html_text.main_text(html_text.parse(page), {1})
+        assert time.perf_counter() - begun < 5, page[:10]
+    assert html_text.main_text(html_text.parse('a <b c="1>0"> d<e "> f</b> < g <3 &lt;'), set()) == 'a d<e "> f < g <3 <'
+
+
+def test_article_in_a_wrapper_with_a_telling_name():
+    page = '<div class="share-form"><article><h1>One</h1><p>Two</p></article></div><div class="comments">No</div>'
+    assert html_text.main_text(html_text.parse(page), set()) == "One\n\nTwo"
+    both = '<article><p>One</p></article><div class="comments"><article>No</article></div>'
+    assert html_text.main_text(html_text.parse(both), set()) == "One"

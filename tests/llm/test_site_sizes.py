@@ -10,9 +10,12 @@ def texts(spark, rows):
 def test_template_of_a_small_site_is_cut(spark):
     words = ["alpha", "beta", "gamma", "delta"]
     rows = [(k, f"http://small.y/{k}", f"<body><div class=top>Same line everywhere</div><div class=own>{words[k]} own text</div></body>") for k in range(4)]
-    # Two pages of a host are too few to tell template from a copied text.
-    rows += [(k, f"http://two.y/{k}", f"<body><div class=top>Said twice</div><div class=own>{words[k - 10]} here</div></body>") for k in (10, 11)]
+    # Two pages of a host are too few to tell template from a copied text, unless other hosts know the branch.
+    rows += [(k, f"http://two.y/{k}", f"<body><div class=aside>Said twice</div><div class=own>{words[k - 10]} here</div></body>") for k in (10, 11)]
+    rows += [(k, f"http://three.y/{k}", f"<body><div class=top>Said twice</div><div class=own>{words[k - 20]} there</div></body>") for k in (20, 21)]
+    rows += [(30, "http://one.y/", "<body><div class=top>Said once</div><div class=own>single page</div></body>")]
     got = texts(spark, rows)
+    assert got[20] == "alpha there" and got[21] == "beta there" and got[30] == "single page"
     assert {k: got[k] for k in range(4)} == {k: f"{words[k]} own text" for k in range(4)}
     assert got[10] == "Said twice\n\nalpha here" and got[11] == "Said twice\n\nbeta here"
 
