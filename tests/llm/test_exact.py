@@ -236,3 +236,16 @@ def test_article_in_a_wrapper_with_a_telling_name():
     assert html_text.main_text(html_text.parse(page), set()) == "One\n\nTwo"
     both = '<article><p>One</p></article><div class="comments"><article>No</article></div>'
     assert html_text.main_text(html_text.parse(both), set()) == "One"
+
+
+def test_rules_are_ordered_by_rejections_per_cost(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm import quality_rules as q
+
+    docs = spark.createDataFrame([(k, "word " * 400 + ("x" if k % 2 else "y")) for k in range(200)], "doc_id long, text string")
+    dear = F.length(F.regexp_replace(F.regexp_replace("_text", "o(?=r)", "0"), "(w)(0)", "$2$1")) > 0
+    rules = [
+        q.Rule("dear", lambda: dear & F.col("_text").endswith("x")), q.Rule("cheap", lambda: F.col("_text").endswith("x")), q.Rule("never", lambda: F.col("n_words") < 0),
+    ]
+    assert [r.name for r in q.cascade(q.features(docs), rules)] == ["cheap", "dear", "never"]
