@@ -19,27 +19,26 @@ MAX_TOKENS, SYSTEM_TOKENS, USER_TOKENS, LABEL_TOKENS, LEAST_TOKENS, SHARE = 2500
 
 
 def with_priority(rows: DataFrame, named: Column | None = None) -> DataFrame:
-    """Adds connectivity, sibling_score and priority to each question's candidates (question, id, name, calls, called_by, score).
+    """Adds connectivity, sibling_score and priority to each question's candidates (question, id, name, calls, called_by, score), an id once a question.
 
     priority = score + 0.05 for each neighbour among the candidates, four at most, + 0.15 of the best score of
     another member of the same class, + 1 where ``named`` holds.
     """
-    own = Window.partitionBy("question")
-    names = F.collect_set("name").over(own)
-    bare = F.collect_set(bare_name(F.col("name"))).over(own)
     near = F.concat(F.coalesce("calls", F.array().cast("array<string>")), F.coalesce("called_by", F.array().cast("array<string>")))
-    linked = F.size(F.filter(near, lambda n: F.array_contains(F.col("_names"), n) | F.array_contains(F.col("_bare"), n)))
-    owned = rows.withColumn("_names", names).withColumn("_bare", bare).withColumn("_owner", owner(F.col("name")))
+    names = rows.select("question", F.explode(F.array("name", bare_name(F.col("name")))).alias("_near")).distinct()
+    linked = rows.select("question", "id", F.explode(near).alias("_near")).join(names, ["question", "_near"], "left_semi").groupBy("question", "id").agg(F.count(F.lit(1)).cast("int").alias("connectivity"))
+    owned = rows.join(linked, ["question", "id"], "left").withColumn("connectivity", F.coalesce("connectivity", F.lit(0))).withColumn("_owner", owner(F.col("name")))
+    owned = owned.select(*rows.columns, "connectivity", "_owner")
     # The best score of the others: the second best for the row that is itself the best.
     by_score = Window.partitionBy("question", "_owner").orderBy(F.desc("score"), "id")
     class_ = Window.partitionBy("question", "_owner")
     placed = owned.withColumn("_place", F.row_number().over(by_score))
     placed = placed.withColumn("_first", F.max(F.when(F.col("_place") == 1, F.col("score"))).over(class_)).withColumn("_second", F.max(F.when(F.col("_place") == 2, F.col("score"))).over(class_))
     sibling = F.when(F.col("_owner").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.when(F.col("_place") == 1, F.col("_second")).otherwise(F.col("_first")), F.lit(0.0)))
-    out = placed.withColumn("connectivity", linked).withColumn("sibling_score", sibling.cast("double"))
+    out = placed.withColumn("sibling_score", sibling.cast("double"))
     extra = F.when(named, F.lit(1.0)).otherwise(F.lit(0.0)) if named is not None else F.lit(0.0)
     priority = F.col("score") + F.least("connectivity", F.lit(4)) * 0.05 + F.col("sibling_score") * 0.15 + extra
-    return out.withColumn("priority", priority).drop("_names", "_bare", "_owner", "_place", "_first", "_second")
+    return out.withColumn("priority", priority).drop("_owner", "_place", "_first", "_second")
 
 
 def fit(texts: list[str], max_tokens: int = MAX_TOKENS) -> list[tuple[int, str]]:

@@ -100,9 +100,13 @@ def expand(
             "question", *carried, F.col("dst").alias("id"), F.lit(hop).alias("graph_distance"), F.greatest(F.round(F.col("graph_score") - 0.05, 9), F.lit(0.0)).alias("graph_score"),
             F.struct("pos", "tier", "name", "dst").alias("_by"),
         )
-        # The first visit of each node: a minimum, which is taken before rows are shuffled.
-        rest = F.struct("_by", *carried, "graph_distance", "graph_score")
-        first = step.groupBy("question", "id").agg(F.min(rest).alias("_v"))
+        # The first visit of each node: a minimum, which is taken before rows are shuffled. Without a cap its place among
+        # its parent's other visits decides nothing, and numbers alone are compared.
+        if max_expanded is None and not carried:
+            first = step.groupBy("question", "id").agg(F.min("_by.pos").alias("_p"), F.min_by("graph_score", "_by.pos").alias("graph_score"))
+            first = first.select("question", "id", F.struct(F.struct("_p", "id").alias("_by"), F.lit(hop).alias("graph_distance"), "graph_score").alias("_v"))
+        else:
+            first = step.groupBy("question", "id").agg(F.min(F.struct("_by", *carried, "graph_distance", "graph_score")).alias("_v"))
         new = first.join(reached.select("question", "id"), ["question", "id"], "left_anti").select("question", "id", "_v.*")
         if max_expanded is None:
             new = new.withColumn("pos", F.row_number().over(Window.partitionBy("question").orderBy("_by")).cast("long")) if hop < depth else new.withColumn("pos", F.lit(0).cast("long"))
