@@ -25,7 +25,7 @@ END_ID = 1
 SEQUENCE = 2048
 DIMENSIONS, BITS = 4, 12
 #: Entries of a worker's cache of pieces; at that size it starts afresh.
-CACHE = 200_000
+CACHE = 400_000
 
 _loaded: dict = {}
 _BESIDE = re.compile(r" \s|\s ")
