@@ -29,8 +29,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's bound. Empty texts say nothing and stay."""
-    judged = language_model.judge(docs, table(spark, sf_dir, "labels"))
-    return judged.where("kept").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    return language_model.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
