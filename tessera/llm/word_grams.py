@@ -10,8 +10,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Names of the two words that aren't runs of characters.
-END, REPEATED = np.uint64(1), np.uint64(2)
+#: Names of the two words that aren't runs of characters, and what comes before a text's first word.
+END, REPEATED, START = np.uint64(1), np.uint64(2), np.uint64(3)
 _B = np.uint64(0x9E3779B97F4A7C15)
 _shared: dict = {}
 
@@ -23,6 +23,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def paired(before: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each pair of words."""
+    return mixed(before * _B + name)
+
+
 @dataclass(frozen=True)
 class Words:
     """All words of some texts in order. ``first`` is where each text starts (one entry more than texts)."""

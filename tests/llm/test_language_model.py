@@ -149,3 +149,72 @@ def test_junk_goes_and_clean_documents_stay(spark):
     got = lm.judge(docs, labels).select("_row.doc_id", "kept").join(labels.select("doc_id", "quality"), "doc_id").collect()
     rejected = {q: [not r.kept for r in got if r.quality == q] for q in (0, 1)}
     assert sum(rejected[0]) / len(rejected[0]) >= 0.9 and sum(rejected[1]) / len(rejected[1]) <= 0.01
+
+
+def pairs_by_hand(texts, trusted):
+    """(mean -log p of a symbol, symbols) of each text under pairs of words, by the textbook's recursion over dictionaries."""
+    p, pairs = direct(trusted), Counter()
+    for t in trusted:
+        words = split(t)
+        pairs.update(zip(["START", *words[:-1]], words, strict=True))
+    follows, before = defaultdict(dict), Counter(b for _, b in pairs)
+    for (a, b), n in pairs.items():
+        follows[a][b] = n
+
+    def discounts(counts):
+        n = Counter(counts)
+        y = n[1] / (n[1] + 2 * n[2])
+        raw = (1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 1.5)
+        d = [min(max(x, 0.05), m) for x, m in zip(raw, (0.95, 1.9, 2.9), strict=True)]
+        return lambda c: d[min(c, 3) - 1]
+
+    off, low = discounts(pairs.values()), discounts(before.values())
+    left = sum(map(low, before.values())) / len(pairs)
+
+    def log_p(a, b):
+        s, spelt = [0, 0, 0, *spelling(b)], 0.0
+        for i in range(3, len(s)):
+            spelt += math.log(p(tuple(s[i - 3 : i]), s[i]))
+        share = (before[b] - low(before[b])) / len(pairs) if b in before else 0.0
+        word = math.log(share + left * math.exp(spelt)) if share else math.log(left) + spelt
+        seen = follows.get(a)
+        if not seen:
+            return word
+        weight = math.log(sum(map(off, seen.values())) / sum(seen.values()))
+        return math.log((seen[b] - off(seen[b])) / sum(seen.values()) + math.exp(weight + word)) if b in seen else weight + word
+
+    out = []
+    for t in texts:
+        words = split(t)
+        size = sum(len(spelling(w)) for w in words)
+        out.append((-sum(log_p(a, b) for a, b in zip(["START", *words[:-1]], words, strict=True)) / size, size))
+    return out
+
+
+def paired(spark, texts, trusted, repeat=1):
+    model, gains = lm.train(spark.createDataFrame([(t,) for t in trusted], "text string"), F.col("text"), 2)
+    got = lm.scores(spark.createDataFrame([(t,) for t in texts] * repeat, "text string").repartition(5), lm.sent(spark, model), gains)
+    keyed = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", lm._key(F.col("text")).alias("key"))
+    return [(r.nll, r.n_symbols) for r in keyed.join(got, "key").orderBy("i").collect()]
+
+
+def test_pairs_of_words_against_the_direct_recursion(spark, monkeypatch):
+    rows = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(16).collect()]
+    texts, trusted = list(dict.fromkeys(rows[6:] + ODD)), rows[:11]
+    theirs = pairs_by_hand(texts, trusted)
+    for mine, direct_ in zip(paired(spark, texts, trusted), theirs, strict=True):
+        assert abs(mine[0] - direct_[0]) < 1e-4 and mine[1] == direct_[1]
+    # Small blobs and pieces, texts that are asked for several times and differently often in the rounds.
+    monkeypatch.setattr(lm, "HELD", 500)
+    often = paired(spark, texts, trusted, 7)
+    assert len(often) == len(theirs) and all(abs(a[0] - b[0]) < 1e-4 and a[1] == b[1] for a, b in zip(often, theirs, strict=True))
+
+
+def test_shuffled_words_are_less_probable(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    long = docs.join(labels.where("quality = 1"), "doc_id").where("size(split(text, ' ')) >= 100").select("doc_id", "lang", "text")
+    mixed = long.select((F.col("doc_id") + 10**9).alias("doc_id"), "lang", F.array_join(F.shuffle(F.split("text", r"\s+"), F.lit(1)), " ").alias("text"))
+    every = docs.select("doc_id", "lang", "text").unionByName(mixed)
+    nll = {r.doc_id: r.nll for r in lm.judge(every, labels).select("_row.doc_id", "nll").collect()}
+    both = [(nll[d - 10**9], n) for d, n in nll.items() if d >= 10**9]
+    assert len(both) > 50 and sum(a < b for a, b in both) / len(both) > 0.95
