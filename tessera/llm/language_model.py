@@ -511,7 +511,7 @@ def _asked(texts: DataFrame, held: Broadcast, turn: int) -> DataFrame:
                     grams.append(key[mine])
                     docs.append(doc[mine])
                     size += len(grams[-1])
-            if size > HELD:
+            if max(size, 8 * len(keys)) > HELD:  # short texts ask for little, but are held too
                 yield flushed()
                 grams, docs, size = [], [], 0
         if keys:

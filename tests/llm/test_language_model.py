@@ -218,3 +218,22 @@ def test_shuffled_words_are_less_probable(spark):
     nll = {r.doc_id: r.nll for r in lm.judge(every, labels).select("_row.doc_id", "nll").collect()}
     both = [(nll[d - 10**9], n) for d, n in nll.items() if d >= 10**9]
     assert len(both) > 50 and sum(a < b for a, b in both) / len(both) > 0.95
+
+
+def test_order_of_words_decides_where_it_tells(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abdegilmnorstu") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    after = {w: rng.sample(words, 4) for w in words}
+
+    def text():
+        out = [rng.choice(words)]
+        while len(out) < 80:
+            out.append(rng.choice(after[out[-1]]))
+        return out
+
+    prose = [text() for _ in range(700)]
+    mixed = [rng.sample(t, len(t)) for t in prose[600:]]
+    docs = spark.createDataFrame([(i, " ".join(t), "xx") for i, t in enumerate(prose + mixed)], "doc_id long, text string, lang string")
+    labels = spark.range(600).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    kept = {r.doc_id for r in lm.judge(docs, labels).where("kept").select("_row.doc_id").collect()}
+    assert len([i for i in range(600, 700) if i in kept]) >= 95 and not [i for i in range(700, 800) if i in kept]
